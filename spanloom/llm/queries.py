@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.canonical import map_to_reference
+from spanloom.llm.frequency import term_frequency
 from spanloom.llm.leaks import find_leaks
 from spanloom.llm.mixture import mix_sources, shuffled_copies
 from spanloom.llm.residue import find_residue
@@ -24,6 +26,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry of the name list that every typed name means, or ''."""
+    return p5_matches(spark, d).select("entry_id", "rxcui")
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the name as typed and the score of its match."""
+    mapped = map_to_reference(table(spark, d, "med_entries", "entry_id", "canonical_name"), "entry_id", "canonical_name", table(spark, d, "name_index", "key", "rxcui"), "key", "rxcui")
+    return mapped.withColumnRenamed("code", "rxcui")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and products of every ingredient and term type."""
+    return term_frequency(table(spark, d, "product", "rxcui", "ingredient_key", "tty"), "rxcui", {"ingredient_key": "/", "tty": None})
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents holding twelve consecutive words of an evaluation item."""
     return p8_leak_runs(spark, d).select("doc_id", "item_id")
@@ -55,6 +73,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_matches": p5_matches,
+    "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_leak_runs": p8_leak_runs,
     "p9_mix": p9_mix,
@@ -75,4 +96,13 @@ ORACLES: dict[str, str] = {
                arg_max(word_idx, (start_s, word_idx)) AS last_word_idx, CAST(count(*) AS INTEGER) AS n_events,
                CAST(round(arg_max(end_s, (start_s, word_idx)) * 1000) AS BIGINT) - CAST(round(min(start_s) * 1000) AS BIGINT) AS duration_ms
         FROM g GROUP BY session_id, turn_id, k HAVING count(*) > 1""",
+    "p6_found": r"""
+        WITH parts AS (
+            SELECT 'ingredient_key' AS field_name, unnest(string_split(ingredient_key, '/')) AS raw, rxcui FROM product WHERE ingredient_key IS NOT NULL
+            UNION ALL SELECT 'tty', tty, rxcui FROM product WHERE tty IS NOT NULL),
+        terms AS (SELECT field_name, trim(regexp_replace(lower(raw), '[\s\p{Z}\x{0085}\x{200B}\x{FEFF}]+', ' ', 'g')) AS term, rxcui FROM parts),
+        n AS (SELECT count(DISTINCT rxcui) AS n_all FROM product)
+        SELECT field_name, term, count(*) AS n_occ, count(DISTINCT rxcui) AS n_records,
+               CASE WHEN count(DISTINCT rxcui) <= 2 THEN 'rare' WHEN count(DISTINCT rxcui) > 0.02 * any_value(n_all) THEN 'common' ELSE 'usual' END AS mark
+        FROM terms, n WHERE term <> '' GROUP BY field_name, term""",
 }
