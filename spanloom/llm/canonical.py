@@ -14,7 +14,7 @@ MAX_EDITS = 2
 _SALTS = 8
 
 # Spellings that sound alike, and abbreviations of salt names.
-_SOUNDS = [("ph", "f"), ("kw", "qu"), ("cw", "qu"), ("ks", "x"), ("cs", "x"), ("ck", "k"), ("y", "i"), ("k", "c"), ("z", "s")]
+_SOUNDS = [("ph", "f"), ("kw", "qu"), ("cw", "qu"), ("ks", "x"), ("ck", "k"), ("y", "i"), ("k", "c"), ("z", "s")]
 _ABBREVIATIONS = {"hcl": "hydrochloride", "hci": "hydrochloride", "na": "sodium", "phos": "phosphate"}
 _WORD = re.compile(r"[a-z0-9]+")
 _DIGITS_INSIDE = str.maketrans("01", "oi")
@@ -38,8 +38,13 @@ def sound(token: str) -> str:
 
 
 def allowed(token: str) -> int:
-    """Edits a token of this length may carry."""
-    return 0 if len(token) < 5 else 1 if len(token) < 7 else MAX_EDITS
+    """Edits with which a token of this length is looked up."""
+    return 0 if len(token) < 5 else 1 if len(token) < 6 else MAX_EDITS
+
+
+def meant(word: str) -> int:
+    """Edits that a reference word of this length may have suffered."""
+    return 0 if len(word) < 5 else 1 if len(word) < 7 else MAX_EDITS
 
 
 def deletions(token: str, edits: int) -> set[str]:
@@ -107,7 +112,7 @@ def _measured(pairs: DataFrame) -> DataFrame:
             rows = []
             for t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 d = edit_distance(sound(t), sound(w), MAX_EDITS)
-                if d <= min(allowed(t), allowed(w)):
+                if d <= min(allowed(t), meant(w)):
                     rows.append((t, w, d, edit_distance(t, w, 9)))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["token", "word", "distance", "raw"])

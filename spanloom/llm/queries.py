@@ -13,6 +13,7 @@ from spanloom.llm.leaks import find_leaks
 from spanloom.llm.mixture import mix_sources, shuffled_copies
 from spanloom.llm.residue import find_residue
 from spanloom.llm.runs import collapse_runs
+from spanloom.llm.transcript import clean_turns
 from spanloom.session import table
 
 
@@ -26,6 +27,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _clean_turns(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    turns = table(spark, d, "turns", "session_id", "turn_id", "speaker_cluster", "role", "start_s", "text")
+    rows = clean_turns(turns, table(spark, d, "words", "session_id", "turn_id", "speaker_cluster"), with_text)
+    ints = ("first_turn_id", "last_turn_id", "speaker_no", "n_words")
+    return rows.select("session_id", *(F.col(c).cast("int").alias(c) for c in ints), *(["text"] if with_text else []))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Clean turns, one per uninterrupted speaker, in spoken order."""
+    return _clean_turns(spark, d, with_text=False)
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the cleaned text."""
+    return _clean_turns(spark, d, with_text=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The entry of the name list that every typed name means, or ''."""
     return p5_matches(spark, d).select("entry_id", "rxcui")
@@ -73,6 +91,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_turns": p4_turns,
     "p5_found": p5_found,
     "p5_matches": p5_matches,
     "p6_found": p6_found,
