@@ -11,6 +11,7 @@ from spanloom.llm.canonical import map_to_reference
 from spanloom.llm.frequency import term_frequency
 from spanloom.llm.leaks import find_leaks
 from spanloom.llm.mixture import mix_sources, shuffled_copies
+from spanloom.llm.personal import find_personal, learn_names, mask_personal
 from spanloom.llm.residue import find_residue
 from spanloom.llm.runs import collapse_runs
 from spanloom.llm.transcript import clean_turns
@@ -60,6 +61,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return term_frequency(table(spark, d, "product", "rxcui", "ingredient_key", "tty"), "rxcui", {"ingredient_key": "/", "tty": None})
 
 
+_TEXTS = {"sessions": ("transcript_text", None), "turns": ("text", "turn_id"), "dropped_words": ("text", "dropped_idx")}
+
+
+def p7_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of personal data with its place and score."""
+    names = learn_names(table(spark, d, "sessions", "transcript_text"), "transcript_text")
+    found = None
+    for name, (column, row) in _TEXTS.items():
+        row_no = F.col(row).cast("int") if row else F.lit(0)
+        texts = table(spark, d, name).select(F.lit(name).alias("source_table"), "session_id", row_no.alias("row_no"), column)
+        part = find_personal(texts, ["source_table", "session_id", "row_no"], column, names)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The mentions' tables, rows, types and first characters."""
+    return p7_mentions(spark, d).select("source_table", "session_id", "row_no", "pii_type", "char_start")
+
+
+def p7_masked_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with typed placeholders instead of personal data."""
+    names = learn_names(table(spark, d, "sessions", "transcript_text"), "transcript_text")
+    return mask_personal(table(spark, d, "turns", "session_id", "turn_id", "text"), "text", names).distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents holding twelve consecutive words of an evaluation item."""
     return p8_leak_runs(spark, d).select("doc_id", "item_id")
@@ -96,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_matches": p5_matches,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_mentions": p7_mentions,
+    "p7_masked_turns": p7_masked_turns,
     "p8_found": p8_found,
     "p8_leak_runs": p8_leak_runs,
     "p9_mix": p9_mix,
