@@ -115,14 +115,15 @@ def resolve_keys(keys: DataFrame, index: DataFrame) -> DataFrame:
     base_key, prior.  Returns q, status, match_type, rxcui, name, score,
     runner_up, edit_distance.
     """
-    exact = _best_type(keys.join(index, F.col("q") == index["key"]).select("q", index["rxcui"], index["tty"], index["str"], index["key"]), ["q"])
+    row = index.select("rxcui", "tty", "str", "key")
+    exact = _best_type(keys.select("q").join(row.withColumn("q", F.col("key")), "q"), ["q"])
     done1 = exact.select("q", F.when(F.col("n_concepts") == 1, "resolved").otherwise("ambiguous").alias("status"), F.lit("exact").alias("match_type"), F.when(F.col("n_concepts") == 1, F.col("row.rxcui")).alias("rxcui"), F.col("row.str").alias("name"), F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("runner_up"), F.lit(0).alias("edit_distance"))
 
     open1 = keys.join(exact.select("q"), "q", "left_anti")
     stages = None
     for n, (mine, theirs) in enumerate([("q", "salt_key"), ("salt_key", "key"), ("base_key", "key"), ("base_key", "base_key")]):
         side = index.select("rxcui", "tty", "str", "key", F.col(theirs).alias("_at"))
-        part = open1.join(side, F.col(mine) == F.col("_at")).where(F.col("_at") != "").select("q", F.lit(n).alias("stage"), side["rxcui"], side["tty"], side["str"], side["key"])
+        part = open1.select("q", F.col(mine).alias("_at")).join(side, "_at").where("_at <> ''").select("q", F.lit(n).alias("stage"), "rxcui", "tty", "str", "key")
         stages = part if stages is None else stages.unionByName(part)
     variant = _best_type(stages, ["q", "stage"]).where("n_concepts = 1").groupBy("q").agg(F.min_by("row", "stage").alias("row"))
     done2 = variant.select("q", F.lit("resolved").alias("status"), F.lit("variant").alias("match_type"), "row.rxcui", F.col("row.str").alias("name"), F.lit(0.9).alias("score"), F.lit(None).cast("double").alias("runner_up"), F.levenshtein("q", "row.key").alias("edit_distance"))

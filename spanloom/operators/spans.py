@@ -63,10 +63,11 @@ def nearest_spans(spans: DataFrame, turns: DataFrame) -> DataFrame:
     ``turns`` has quote_id, char_start, char_end of the hinted turn; without a
     hint the first occurrence is taken.
     """
-    hinted = spans.where("char_offset is not null").join(turns, "quote_id", "left")
-    inside = F.col("char_offset").between(F.col("char_start"), F.col("char_end") - 1)
-    away = F.abs(F.col("char_offset") - F.floor((F.col("char_start") + F.col("char_end")) / 2))
-    rank = F.struct(F.when(inside, 0).otherwise(1), F.when(inside | F.col("char_start").isNull(), 0).otherwise(away), F.col("char_offset"))
+    hint = turns.select("quote_id", F.col("char_start").alias("h_lo"), F.col("char_end").alias("h_hi"))
+    hinted = spans.where("char_offset is not null").join(hint, "quote_id", "left")
+    inside = F.col("char_offset").between(F.col("h_lo"), F.col("h_hi") - 1)
+    away = F.abs(F.col("char_offset") - F.floor((F.col("h_lo") + F.col("h_hi")) / 2))
+    rank = F.struct(F.when(inside, 0).otherwise(1), F.when(inside | F.col("h_lo").isNull(), 0).otherwise(away), F.col("char_offset"))
     return hinted.groupBy("quote_id").agg(F.min_by(F.struct("char_offset", "char_end", F.coalesce(inside, F.lit(False)).alias("inside")), rank).alias("s"), F.count("*").alias("n_occurrences")).select("quote_id", "s.char_offset", "s.char_end", "s.inside", "n_occurrences")
 
 

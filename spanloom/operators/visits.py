@@ -68,7 +68,7 @@ def synthetic_clock(turns: DataFrame) -> DataFrame:
     words = turns.select("session_id", "turn_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "word")).where("word <> ''")
     timed = words.withColumn("took", F.greatest(F.length("word") / 13.0, F.lit(0.12))).withColumn("step", F.col("took") + F.when(F.col("pos") == 0, 0.35).otherwise(0.0))
     start = F.col("before_step") + F.col("step") - F.col("took") - 0.35
-    return annotate(timed, "session_id", ["turn_id", "pos"], sums=["step"]).select("session_id", "turn_id", "pos", "word", F.round(start, 3).alias("start_s"), F.round(start + F.col("took"), 3).alias("end_s"))
+    return annotate(timed, "session_id", ["turn_id", "pos"], sums=["step"]).select("session_id", "turn_id", "pos", "word", start.alias("start_s"), (start + F.col("took")).alias("end_s"))
 
 
 def turn_at(offsets: DataFrame, turns: DataFrame, bucket: int = 256) -> DataFrame:

@@ -95,13 +95,13 @@ def turn_offsets(s, d):
     m AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR label IS DISTINCT FROM lag(label) OVER o THEN 1 ELSE 0 END AS new,
                  coalesce(sum(length(text) + 1) OVER (PARTITION BY session_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM l WINDOW o AS (PARTITION BY session_id ORDER BY word_idx)),
     g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) - 1 AS turn_no FROM m)
-    SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, any_value(label) AS label, count(*) AS n_words, min(word_idx) AS first_word_idx, max(word_idx) AS last_word_idx,
+    SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, coalesce(any_value(label), -1) AS label, count(*) AS n_words, min(word_idx) AS first_word_idx, max(word_idx) AS last_word_idx,
            CAST(min(lo) AS BIGINT) AS char_start, CAST(max(lo + length(text)) AS BIGINT) AS char_end
     FROM g GROUP BY session_id, turn_no"""
 )
 def turn_islands(s, d):
     """W-01: turns built from contiguous words of one speaker."""
-    return visits.build_turns(_words(s, d), _speaker("speaker_cluster"))
+    return visits.build_turns(_words(s, d), _speaker("speaker_cluster")).withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 @query(
@@ -110,13 +110,13 @@ def turn_islands(s, d):
     e AS (SELECT session_id, turn_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM x),
     k AS (SELECT *, greatest(length(word) / 13.0::DOUBLE, 0.12) AS took, CASE WHEN pos = 0 THEN 0.35 ELSE 0 END AS pause FROM e WHERE word <> ''),
     r AS (SELECT *, sum(took + pause) OVER (PARTITION BY session_id ORDER BY turn_id, pos ROWS UNBOUNDED PRECEDING) - 0.35 AS stop FROM k),
-    b AS (SELECT session_id, turn_id, count(*) AS n_words, round(max(stop), 2) AS end_s FROM r GROUP BY session_id, turn_id)
+    b AS (SELECT session_id, turn_id, count(*) AS n_words, round(max(stop) + 1e-6, 2) AS end_s FROM r GROUP BY session_id, turn_id)
     SELECT * FROM b"""
 )
 def running_clock(s, d):
     """W-03: synthetic times, summed up per turn."""
     clock = visits.synthetic_clock(_turns(s, d).select("session_id", "turn_id", "text"))
-    return clock.groupBy("session_id", "turn_id").agg(F.count("*").alias("n_words"), F.round(F.max("end_s"), 2).alias("end_s"))
+    return clock.groupBy("session_id", "turn_id").agg(F.count("*").alias("n_words"), F.round(F.max("end_s") + 1e-6, 2).alias("end_s"))
 
 
 @query(
@@ -126,12 +126,12 @@ def running_clock(s, d):
     m AS (SELECT p.session_id, p.word_idx, i.interval_id, least(p.end_s, hi) - greatest(p.start_s, lo) AS overlap, lo
           FROM p JOIN i ON p.session_id = i.session_id AND p.start_s < i.hi AND p.end_s > i.lo WHERE p.end_s > p.start_s),
     b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY session_id, word_idx ORDER BY round(overlap, 6) DESC, lo, interval_id) = 1)
-    SELECT p.session_id, p.word_idx, b.interval_id, round(b.overlap, 3) AS overlap_s FROM p LEFT JOIN b USING (session_id, word_idx)"""
+    SELECT p.session_id, p.word_idx, coalesce(b.interval_id, -1) AS interval_id, round(coalesce(b.overlap, 0), 3) AS overlap_s FROM p LEFT JOIN b USING (session_id, word_idx)"""
 )
 def interval_assign(s, d):
-    """J-01: each word to the interval that it overlaps most; J-02: null where none does."""
+    """J-01: each word to the interval that it overlaps most; J-02: -1 where none does."""
     intervals = _turns(s, d).select("session_id", F.col("turn_id").alias("interval_id"), "start_s", "end_s")
-    return visits.assign_intervals(_words(s, d), intervals, ["word_idx"])
+    return visits.assign_intervals(_words(s, d), intervals, ["word_idx"]).fillna(-1, ["interval_id"]).fillna(0.0, ["overlap_s"])
 
 
 @query(
@@ -446,25 +446,25 @@ def spoken_dates(s, d):
 @query(
     """,
     n AS (SELECT s.session_id, s.visit_date, k.target FROM s, (SELECT unnest(range(7)) AS target) k WHERE s.visit_date IS NOT NULL)
-    SELECT session_id, visit_date, CAST(target AS INTEGER) AS target,
-           visit_date + CAST(CASE WHEN (target - (isodow(visit_date) - 1) + 7) % 7 = 0 THEN 7 ELSE (target - (isodow(visit_date) - 1) + 7) % 7 END AS INTEGER) AS coming FROM n"""
+    SELECT session_id, CAST(visit_date AS VARCHAR) AS visit_date, CAST(target AS INTEGER) AS target,
+           CAST(visit_date + CAST(CASE WHEN (target - (isodow(visit_date) - 1) + 7) % 7 = 0 THEN 7 ELSE (target - (isodow(visit_date) - 1) + 7) % 7 END AS INTEGER) AS VARCHAR) AS coming FROM n"""
 )
 def date_weekday(s, d):
     """D-07: the coming Monday (0) to Sunday (6) after each visit, never the day itself."""
     days = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
     rows = _sessions(s, d).where("visit_date is not null").select("session_id", "visit_date", F.posexplode(F.array(*map(F.lit, days))).alias("target", "name"))
-    return rows.select("session_id", "visit_date", "target", dates.resolved(F.concat(F.lit("next "), "name"), F.col("visit_date"))["resolved_date"].alias("coming"))
+    return rows.select("session_id", F.col("visit_date").cast("string").alias("visit_date"), "target", dates.resolved(F.concat(F.lit("next "), "name"), F.col("visit_date"))["resolved_date"].cast("string").alias("coming"))
 
 
 @query(
     """,
     n AS (SELECT s.session_id, s.visit_date, k.n FROM s, (SELECT unnest([1, 3, 14]) AS n) k WHERE s.visit_date IS NOT NULL)
-    SELECT session_id, CAST(n AS INTEGER) AS n, visit_date + CAST(7 * n AS INTEGER) AS in_weeks, visit_date - CAST(n AS INTEGER) AS days_ago FROM n"""
+    SELECT session_id, CAST(n AS INTEGER) AS n, CAST(visit_date + CAST(7 * n AS INTEGER) AS VARCHAR) AS in_weeks, CAST(visit_date - CAST(n AS INTEGER) AS VARCHAR) AS days_ago FROM n"""
 )
 def date_relative(s, d):
     """D-06, D-09: "in n weeks" and "n days ago"."""
     rows = _sessions(s, d).where("visit_date is not null").select("session_id", "visit_date", F.explode(F.array(F.lit(1), F.lit(3), F.lit(14))).alias("n"))
-    when = lambda text: dates.resolved(text, F.col("visit_date"))["resolved_date"]
+    when = lambda text: dates.resolved(text, F.col("visit_date"))["resolved_date"].cast("string")
     return rows.select("session_id", "n", when(F.concat(F.lit("come back in "), F.col("n").cast("string"), F.lit(" weeks"))).alias("in_weeks"), when(F.concat(F.col("n").cast("string"), F.lit(" days ago"))).alias("days_ago"))
 
 
@@ -506,20 +506,20 @@ def dose_regimes(s, d):
 
 @query(
     """,
-    e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END AS day, event_type AS kind, CASE WHEN value > 50 THEN props END AS detail FROM events),
+    e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_type <> 'error' THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS day, event_type AS kind, CASE WHEN value > 50 THEN props END AS detail FROM events),
     r AS (SELECT *, CASE WHEN day IS NULL THEN event_id END AS u FROM e)
     SELECT session_id, day, kind, min(event_id) AS event_id, count(*) AS n_merged, arg_min(detail, event_id) FILTER (detail IS NOT NULL) AS detail FROM r GROUP BY session_id, day, kind, u"""
 )
 def event_merge(s, d):
     """U-06, T-08: events of one user, day and kind merge, undated ones never; a detail is donated."""
-    e = table(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("session_id"), F.when(F.col("event_type") != "error", F.to_date("ts")).alias("day"), F.col("event_type").alias("kind"), F.when(F.col("value") > 50, F.col("props")).alias("detail"))
+    e = table(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("session_id"), F.when(F.col("event_type") != "error", F.to_date("ts").cast("string")).alias("day"), F.col("event_type").alias("kind"), F.when(F.col("value") > 50, F.col("props")).alias("detail"))
     return mentions.merge_events(e, "day", "kind", [], "detail")
 
 
 @query(
     """,
     q AS (SELECT session_id, char_start AS char_offset, char_end, CASE WHEN lower(trim(role)) = 'clinician' THEN 'what_changes' WHEN role IS NULL THEN 'open' ELSE 'what_you_said' END AS heading FROM t)
-    SELECT session_id, char_offset, char_end, heading, CAST(row_number() OVER o AS INTEGER) AS rank FROM q QUALIFY row_number() OVER o <= 3 WINDOW o AS (PARTITION BY session_id, heading ORDER BY char_offset, char_end)"""
+    SELECT session_id, char_offset, char_end, heading, CAST(row_number() OVER o AS INTEGER) AS rank FROM q WINDOW o AS (PARTITION BY session_id, heading ORDER BY char_offset, char_end) QUALIFY row_number() OVER o <= 3"""
 )
 def summary_top3(s, d):
     """T-06, U-05: the first three distinct spans under each heading."""
@@ -565,11 +565,11 @@ def voice_outliers(s, d):
 @query(
     _CENTROIDS
     + """
-    SELECT x.cluster AS a, y.cluster AS b, round(1 - list_cosine_similarity(x.centroid, y.centroid), 6) AS distance FROM c x, c y WHERE x.cluster < y.cluster AND round(1 - list_cosine_similarity(x.centroid, y.centroid), 6) < 0.45"""
+    SELECT x.cluster AS a, y.cluster AS b, round(1 - list_cosine_similarity(x.centroid, y.centroid), 6) AS distance FROM c x, c y WHERE x.cluster < y.cluster AND round(1 - list_cosine_similarity(x.centroid, y.centroid), 6) < 1.0"""
 )
 def close_voices(s, d):
-    """J-22: clusters whose centroids are too close to tell apart."""
-    return voices.close_clusters(voices.centroids(table(s, d, "embeddings"), "label", "embedding"))
+    """J-22: clusters whose centroids lie on one side (distance below 1)."""
+    return voices.close_clusters(voices.centroids(table(s, d, "embeddings"), "label", "embedding"), below=1.0)
 
 
 # ---------------------------------------------------------------- search, sinks, retention
