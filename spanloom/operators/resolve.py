@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.names import ends_in_form, name_key, normalized
 from spanloom.functions.similarity import double_metaphone, jaro_winkler
 from spanloom.operators.vocabulary import BEST_ORDER, ingredient_frequency, type_rank
-from spanloom.session import checkpointed
+from spanloom.session import checkpointed, shuffle_partitions
 
 # Weights, thresholds and word lists of the decision.
 RECALL, THRESHOLD, MARGIN, MAX_EDITS = 0.80, 0.72, 0.06, 3
@@ -129,7 +129,9 @@ def resolve_keys(keys: DataFrame, index: DataFrame) -> DataFrame:
     done2 = variant.select("q", F.lit("resolved").alias("status"), F.lit("variant").alias("match_type"), "row.rxcui", F.col("row.str").alias("name"), F.lit(0.9).alias("score"), F.lit(None).cast("double").alias("runner_up"), F.levenshtein("q", "row.key").alias("edit_distance"))
 
     open2 = open1.join(variant.select("q"), "q", "left_anti")
-    scored = fuzzy_candidates(open2, index)
+    # few keys may be left, but each costs a pass over the index: spread them
+    n = shuffle_partitions(keys.sparkSession)
+    scored = fuzzy_candidates(open2.select("q").repartition(n, "q"), index)
     # U-03: one candidate per key, with the best score and the row of the best type
     rank = F.struct(type_rank(F.col("tty"), BEST_ORDER), F.negative("score"), F.col("str"), F.col("rxcui"))
     per_key = scored.groupBy("q", "key").agg(F.max("score").alias("score"), F.min_by(F.struct("rxcui", "str"), rank).alias("row"))
@@ -140,7 +142,7 @@ def resolve_keys(keys: DataFrame, index: DataFrame) -> DataFrame:
     weak = (best < THRESHOLD) | (edits > MAX_EDITS)
     status = F.when(weak, "unresolved").when(best - second < MARGIN, "ambiguous").otherwise("resolved")
     done3 = top.select("q", status.alias("status"), F.lit("fuzzy").alias("match_type"), F.when(status == "resolved", F.col("a.rxcui")).alias("rxcui"), F.col("a.name").alias("name"), F.round(best, 4).alias("score"), F.round(second, 4).alias("runner_up"), edits.alias("edit_distance"))
-    known = done1.unionByName(done2).unionByName(done3)
+    known = done1.unionByName(done2).unionByName(checkpointed(done3))
     rest = keys.join(known.select("q"), "q", "left_anti").select("q", F.lit("unresolved").alias("status"), F.lit("none").alias("match_type"), F.lit(None).cast("string").alias("rxcui"), F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("runner_up"), F.lit(None).cast("int").alias("edit_distance"))
     return known.unionByName(rest)
 

@@ -6,7 +6,7 @@ end-exclusive, in characters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.rangescan import annotate
@@ -75,25 +75,32 @@ def turn_at(offsets: DataFrame, turns: DataFrame, bucket: int = 256) -> DataFram
     """J-04/J-05: the turn that holds an offset; in a gap the next turn, after the end the last.
 
     ``offsets`` has session_id, probe_id, char_offset; ``turns`` session_id,
-    turn_id, char_start, char_end.  The as-of lookup merges probes and turns in
-    one ordering, so nothing is joined pairwise.
+    turn_id, char_start, char_end.  Every turn answers for the gap before it, so
+    the as-of lookup is a containment: both sides meet on (session, stretch of
+    ``bucket`` characters), which spreads a session of any length.  Turns without
+    a span are disregarded; offsets of unknown sessions, negative or null, get null.
     """
-    probes = offsets.select("session_id", F.col("char_offset").alias("at"), F.lit(1).alias("kind"), "probe_id", F.lit(None).cast("struct<turn_id:int,lo:int,hi:int>").alias("turn"))
-    marks = turns.select("session_id", F.col("char_start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(offsets.schema["probe_id"].dataType).alias("probe_id"), F.struct(F.col("turn_id").cast("int").alias("turn_id"), F.col("char_start").cast("int").alias("lo"), F.col("char_end").cast("int").alias("hi")).alias("turn"))
-    both = probes.unionByName(marks)
-    order = Window.partitionBy("session_id").orderBy("at", "kind")
-    seen = F.last("turn", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first("turn", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumn("seen", seen).withColumn("coming", coming).where("kind = 1")
-    inside = F.col("seen").isNotNull() & (F.col("at") < F.col("seen.hi"))
-    return found.select("session_id", "probe_id", F.col("at").alias("char_offset"), F.when(inside, F.col("seen.turn_id")).otherwise(F.coalesce(F.col("coming.turn_id"), F.col("seen.turn_id"))).alias("turn_id"), inside.alias("inside"))
+    spans = turns.where("session_id is not null and char_end > char_start and char_start >= 0").select("session_id", F.col("turn_id").cast("int").alias("turn_id"), F.col("char_start").cast("bigint").alias("lo"), F.col("char_end").cast("bigint").alias("hi"))
+    reach = annotate(spans, "session_id", ["lo", "turn_id"], lags=["hi"]).withColumn("start", F.least("lo", F.coalesce("prev_hi", F.lit(0)))).select("session_id", "turn_id", "lo", "hi", "start")
+    cut = reach.withColumn("b", F.explode(F.expr(f"sequence(start div {bucket}, (hi - 1) div {bucket})")))
+    probes = offsets.select("session_id", "probe_id", F.col("char_offset").cast("bigint").alias("char_offset"), F.expr(f"char_offset div {bucket}").alias("b"))
+    held = probes.join(cut, ["session_id", "b"]).where("char_offset >= start and char_offset < hi")
+    best = held.groupBy("session_id", "probe_id").agg(F.min_by(F.struct("turn_id", (F.col("char_offset") >= F.col("lo")).alias("inside")), F.struct(F.col("char_offset") < F.col("lo"), F.negative("lo"), "turn_id")).alias("t"))
+    final = spans.groupBy("session_id").agg(F.max_by("turn_id", F.struct("hi", "turn_id")).alias("last_id"))
+    found = probes.join(best, ["session_id", "probe_id"], "left").join(final, "session_id", "left")
+    return found.select("session_id", "probe_id", "char_offset", F.coalesce("t.turn_id", F.when(F.col("char_offset") >= 0, F.col("last_id"))).alias("turn_id"), F.coalesce("t.inside", F.lit(False)).alias("inside"))
 
 
 def context_window(turns: DataFrame, reach: int = 2) -> DataFrame:
-    """F-14: ids of the turns around each turn, ``reach`` to either side."""
-    order = Window.partitionBy("session_id").orderBy("turn_id").rowsBetween(-reach, reach)
-    ids = F.transform(F.collect_list("turn_id").over(order), lambda x: x.cast("string"))
-    return turns.select("session_id", "turn_id", F.array_join(ids, ",").alias("context_ids"))
+    """F-14: ids of the turns around each turn, ``reach`` to either side.
+
+    Turns are numbered by a range scan and meet on (session, number), a unique
+    key, instead of a window over the whole session.
+    """
+    one = annotate(turns.select("session_id", "turn_id").withColumn("one", F.lit(1.0)), "session_id", ["turn_id"], sums=["one"]).select("session_id", "turn_id", F.col("before_one").cast("bigint").alias("pos"))
+    given = one.select("session_id", F.col("turn_id").alias("near"), F.explode(F.expr(f"sequence(pos - {reach}, pos + {reach})")).alias("pos"))
+    met = one.join(given, ["session_id", "pos"]).groupBy("session_id", "turn_id").agg(F.array_sort(F.collect_list("near")).alias("ids"))
+    return met.select("session_id", "turn_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("context_ids"))
 
 
 def word_probability(quotes: DataFrame, words: DataFrame) -> DataFrame:

@@ -114,3 +114,16 @@ def test_salts_and_canonical(spark):
     p = spark.createDataFrame([("alpha citrate",), ("alpha sodium",)], "ingredient_full_key string")
     assert rows(vocabulary.salt_pairs(n, p).select("pin_name")) == [("alpha citrate",), ("alpha sodium",)]
     assert vocabulary.canonical_names(n).where("rxcui = '1'").first().canonical_name == "alpha"
+
+
+def test_registered_functions(spark):
+    from spanloom.functions.register import register
+
+    register(spark)
+    r = spark.sql("select normalize_name('The Alpha ER').base_key a, jaro_winkler('ab','ab') b, double_metaphone('metoprolol')[0] c, parse_sig('50 mg daily').status d, resolve_date('tomorrow', date'2031-01-01').resolved_date e, find_span('éab','ab') f, find_span('x','y') g").first()
+    assert (r.a, r.b, r.c, r.d, str(r.e), r.f, r.g) == ("alpha", 1.0, "MTPRLL", "parsed", "2031-01-02", 1, None)
+
+
+def test_context(spark):
+    t = spark.createDataFrame([("s", i) for i in (1, 4, 6, 9)] + [("t", 3)], "session_id string, turn_id int")
+    assert rows(visits.context_window(t, 1)) == [("s", 1, "1,4"), ("s", 4, "1,4,6"), ("s", 6, "4,6,9"), ("s", 9, "6,9"), ("t", 3, "3")]
