@@ -31,6 +31,7 @@ The requested address does not exist on this server.
 The page, file, link, article, listing, profile, product or record you requested, behind this bookmark, with this number, at this location, at this address has moved elsewhere
 That article, page, item, listing, entry, offer, thread, section at this location is no longer available, is gone, may have expired
 The page, product, thread, section, profile, link you were looking for, you requested, with this number is gone, may have expired
+We could not find, we cannot find the page you requested. This page could not be loaded.
 No results match your request. Nothing found. Your session has expired. Please log in again.
 This listing, offer, item, video, page is no longer available.
 The file with this number has been taken down, removed, deleted, withdrawn, archived, expired
@@ -38,18 +39,18 @@ The page you opened, requested, followed is being rebuilt, failed to load, canno
 The profile behind this link is restricted to members
 Oops, nothing here. This page does not exist.
 Die gesuchte Seite wurde nicht gefunden.
-Seite nicht gefunden. Die angeforderte Adresse existiert nicht.
+Wir konnten die gewünschte Seite nicht finden. Seite nicht gefunden. Die angeforderte Adresse existiert nicht.
 Das Profil, das Produkt, der Artikel, die Datei, der Eintrag, die Anzeige hinter diesem Link, unter dieser Adresse, mit dieser Nummer wurde entfernt, gelöscht, verschoben, ist nicht mehr verfügbar, ist nur für Mitglieder zugänglich, wird gerade überarbeitet, konnte nicht geladen werden, ist abgelaufen, existiert nicht mehr, ist nur für Mitglieder sichtbar, die Sie suchen
 Diese Rubrik, dieser Beitrag, dieses Produkt, diese Datei wurde verschoben, kann nicht angezeigt werden
 Dieses Angebot ist nicht mehr verfügbar.
 La page demandée n'existe pas ou a été déplacée.
 La page, le fichier, le produit, le profil, l'article, la fiche derrière ce lien, à cette adresse, avec ce numéro n'est plus disponible, a été retiré, a été supprimée, est réservée aux membres, est en cours de réfection, n'a pas pu être chargée, a expiré, n'existe plus, est introuvable, que vous cherchez, que vous avez demandé
 Cette section, cette fiche, ce produit, ce fichier à cette adresse ne peut pas être affiché, affichée, pour le moment
-Cette annonce n'est plus disponible. Page introuvable.
+Cette annonce n'est plus disponible. Page introuvable. Nous n'avons pas trouvé la page demandée.
 La página que busca no existe o ha sido movida. Página no encontrada.
 La página, el archivo, el producto, el perfil, el artículo, la ficha en esta dirección, detrás de este enlace, con este número ya no está disponible, ha sido retirada, se ha eliminado, está reservada a los socios, se está rehaciendo, no se pudo cargar, ha caducado, ya no existe, que busca, que ha solicitado, no se encuentra
 Esta sección, este producto, esta página en esta dirección no se puede mostrar
-Este anuncio ya no está disponible.
+Este anuncio ya no está disponible. No encontramos la página solicitada.
 """,
     "unavailable": """
 Service temporarily unavailable. Please try again later.
@@ -150,6 +151,7 @@ _QUOTES = "`\"'“”„«»‘’‹›"
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _TERM = re.compile(r"[0-9a-z][0-9a-z*]*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s(?:[|/]|[^\x00-\x7f]{1,3})\s")
+_QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|‘[^‘’]{20,}’|\"[^\"]*\"")
 _FOOTER = re.compile(r"^\W{0,3}(?:©|\(c\)|[^\x00-\x7f]+)\s?(?:19|20)\d\d\b", re.I)
 _TAIL = re.compile(r"[.!?…:;]\W*$")
 
@@ -203,6 +205,12 @@ class ExemplarIndex:
         """
         if (found := self.seen.get(part)) is not None:
             return found
+        whole = part
+        # a sentence that quotes a passage of three words or more is judged by what it says itself
+        for m in _QUOTED.finditer(part):
+            if m[0].count(" ") >= 2 and len(_TERM.findall(_fold(outside := part[: m.start()] + " " + part[m.end() :]))) >= 3:
+                part = outside
+                break
         terms, known, inside = _TERM.findall(_fold(part)), self.known, 0.0
         n = len(terms)
         for t in terms:
@@ -216,8 +224,8 @@ class ExemplarIndex:
             else:
                 inside -= self.rare * self.least / (1 - self.least)
         bad, around = self.cover(signatures(part)) if n and inside >= 0 else (0.0, 0.0)
-        if len(part) < 200 and (bad or around) and len(self.seen) < 50_000:
-            self.seen[part] = bad, around, n
+        if len(whole) < 200 and (bad or around) and len(self.seen) < 50_000:
+            self.seen[whole] = bad, around, n
         return bad, around, n
 
     def cover(self, terms: list[str]) -> tuple[float, float]:
