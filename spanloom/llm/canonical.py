@@ -89,15 +89,19 @@ def _tokenised(values: DataFrame) -> DataFrame:
     return values.mapInArrow(run, "name string, token string")
 
 
-def _variants(toks: DataFrame) -> DataFrame:
-    """(token, variant) under deletion, of the sound of each token."""
+def _variants(toks: DataFrame, longest: int) -> DataFrame:
+    """(token, variant) under deletion, of the sound of each token.
+
+    A sound longer than the ``longest`` reference word by more than the edits
+    can match none, so it has no variants.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 names, out = [], []
                 for t in batch.column(0).slice(at, 500).to_pylist():
-                    v = deletions(sound(t), allowed(t))
+                    v = deletions(sound(t), allowed(t)) if len(sound(t)) <= longest + MAX_EDITS else ()
                     names.extend([t] * len(v)), out.extend(v)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["token", "variant"])
 
@@ -151,7 +155,9 @@ def map_to_reference(entries: DataFrame, entry_id: str, value: str, reference: D
     pieces = _tokenised(names)
     words = idf.select(F.col("word").alias("token"))
     toks = pieces.select("token").distinct()
-    pairs = _variants(toks).join(_variants(words).select(F.col("token").alias("word"), "variant"), "variant").select("token", "word").distinct()
+    # sounds are at most a letter longer than their spelling, per letter replaced; twice the length is safe
+    longest = 2 * (words.agg(F.max(F.length("token")).alias("n")).first().n or 0)
+    pairs = _variants(toks, longest).join(_variants(words, longest).select(F.col("token").alias("word"), "variant"), "variant").select("token", "word").distinct()
     measured = _measured(pairs)
     nearest = measured.groupBy("token").agg(F.min(F.struct("distance", "raw")).alias("best"))
     repairs = measured.join(nearest, "token").where("distance = best.distance and raw = best.raw").select("token", "word", (1 - F.col("distance") / (2.0 * F.length("word")) - F.col("raw") / 1000.0).alias("sim"))

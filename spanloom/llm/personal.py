@@ -46,7 +46,7 @@ _TWO_LETTERS = set("am an as at be by do er go he hi if in is it me my no of oh
 
 _AT = r"(?:@| ?[\[(] ?at ?[\])] ?| at )"
 _DOT = r"(?:\.| dot | ?[\[(] ?dot ?[\])] ?)"
-_EMAIL = re.compile(rf"(?<![\w.+@-])[a-z0-9][\w+'’-]*(?:{_DOT}[\w+'’-]+)*{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,12}}(?![\w@])", re.I)
+_EMAIL = re.compile(rf"(?<![\w.+@-])[a-z0-9][\w+'’-]*(?:{_DOT}[\w+'’-]+){{0,10}}{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9-]+){{0,10}}{_DOT}[a-z]{{2,12}}(?![\w@])", re.I)
 _UNIT = r"(?:flat|apartment|apt\.?|unit|suite|no\.?|number)"
 _ADDRESS = re.compile(
     rf"(?<![\w-])(?:{_UNIT} \d+[a-z]?,? )?(?:\d+[a-z]?(?: ?[-–] ?\d+[a-z]?)?|{_NUMBER_WORD}),? (?:(?:north|south|east|west|old|new)\.? )?(?P<name>{_STREET_NAME}(?: {_STREET_NAME})?) (?:{_STREET}\b|{_SHORT_STREET})"

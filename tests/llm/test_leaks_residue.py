@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm.leaks import LeakMatcher, find_leaks, myers_distance, plain_words
-from spanloom.llm.residue import ExemplarIndex, find_residue, signatures, unfilled_fields
+from spanloom.llm.residue import ExemplarIndex, find_residue, signatures, unfilled_fields, weigh_page
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "tu", "re") for b in ("ban", "dor", "fen", "gul", "pas")]
 
@@ -81,3 +81,11 @@ def test_residue(spark):
     assert signatures("Prüfen über 12x PrÃ¼fen") == ["pr*fen", "ber", "#", "pr*fen"]
     assert unfilled_fields("%%A%% {x} @@b@@ [Your Name Here] '{x}' [Enter] 100%") == 4
     ExemplarIndex()
+
+
+def test_very_long_texts_are_read_whole():
+    item = " ".join(WORDS[:20])
+    assert LeakMatcher([(1, item)]).find("pad " * 300_000 + item) == {0: 20}
+    index = ExemplarIndex()
+    index.weigh({}, 10)
+    assert weigh_page("pad. " * 100_000 + "{{ name }}", index)[2] == 1

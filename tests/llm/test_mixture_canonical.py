@@ -39,7 +39,7 @@ def test_canonical(spark):
     r = spark.createDataFrame([(*x, 0) for x in ref], "rxcui string, key string, score int")
     cases = {
         "Clogibriium": "1", "  the CLOGYBRIIUM SR 5mg": "2", "clogib riium": "1", "cologibriium tabs": "1", "clog-ibriium": "1", "Citrate Bralatreovol": "3", "bralatreovol hcl": "4", "bralatreovoI": "4",
-        "ZADEKSOIQUE": "5", "zade0xique (!)": "5", "eye drops": "", "the one for sleep": "", "???": "", "çlogibriium": "1",
+        "ZADEKSOIQUE": "5", "zade0xique (!)": "5", "eye drops": "", "the one for sleep": "", "???": "", "çlogibriium": "1", "x" * 20_000: "", "clogibriium " + "tab " * 5000: "1",
     }
     rows = [(i, t, 0) for i, t in enumerate(cases)] + [(0, next(iter(cases)), 0), (90, None, 0), (91, "   ", 0)]
     df = spark.createDataFrame(rows, "entry_id bigint, name string, code int")

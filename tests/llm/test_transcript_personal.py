@@ -63,3 +63,11 @@ def test_frames(spark):
     masked = {r.k: r.t for r in mask_personal(df, "t", frozenset({"xandor", "kvarn"})).collect()}
     assert masked == {"a": "This is [PERSON] speaking, and [PERSON] left.", "b": None, "c": ""}
     assert mask("abc", []) == "abc" and find_personal(df.where("false"), ["k"], "t", NAMES).count() == 0
+
+
+def test_very_long_texts_are_read_whole():
+    tail = " call me on 212 555 0123"
+    for filler in ("word " * 60_000, "x dot " * 30_000, "( " * 50_000, "a" * 200_000 + " "):
+        text = filler + "mail a.b@c.example or" + tail
+        assert kinds(text)[-2:] == [("email", "a.b@c.example"), ("phone", "212 555 0123")]
+        assert clean_row(text, Layouts({}))[0].endswith("0123")
