@@ -113,6 +113,20 @@ def has_dose(name: Column) -> Column:
     return name.rlike(DOSE)
 
 
+#: Words that can fill a phrase without naming anything.
+EMPTY_WORDS = frozenset(
+    "still on it that this one the a an my your his her our their same as before now then also too again just only more less other another take taking took takes keep keeping stay staying".split()
+)
+
+
+def names_nothing(text: Column) -> Column:
+    """F-05: every word of two letters or more is a number, a unit or an empty word (or there is none); null names nothing."""
+    from spanloom.functions.dosing import NUMBERS, SCALES, UNITS
+
+    ignorable = sorted(EMPTY_WORDS | NUMBERS.keys() | SCALES.keys() | UNITS.keys())
+    return F.forall(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]{2,})"), 1), lambda w: w.isin(ignorable))
+
+
 def ingredient_head(name: Column) -> Column:
     """A product string up to its first number: bracketed brand and leading rate dropped."""
     unbranded = F.regexp_replace(name, r"\s*\[[^\]]*\]\s*$", "")

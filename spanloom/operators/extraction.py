@@ -44,3 +44,20 @@ def item_children(records: DataFrame, record_id: str, raw: str, item_kind: str =
     return ranked.where("child_kind <> 'kind' and child_text rlike '[^\\\\s\\\\u00A0\\\\u2000-\\\\u200B\\\\u3000]'").select(
         "record_id", "item", "med_ord", "child_kind", "child_ord", "child_text"
     )
+
+
+def item_states(records: DataFrame, record_id: str, raw: str, outside: str = "discarded") -> DataFrame:
+    """A-13/A-14: per record its items by disposition, its discards, and the categories they carry.
+
+    Read from the nodes of any layout; records without items or discards, and
+    unreadable ones, yield no row; repeated records count once.
+    """
+    nodes = dewey_nodes(records, record_id, raw, keep=rf"\.disposition$|\.d16_categor(y|ies){_LIST}$|\.{outside}\.\[\]$")
+    away = F.col("path").rlike(rf"\.{outside}(\.|$)")
+    flat = nodes.select("record_id", "dewey", away.alias("away"), F.col("path").rlike(r"\.\[\]$").alias("listed"), F.col("path").contains(".d16_").alias("category"), "kind", "value").distinct()
+    state = F.when(~F.col("away") & ~F.col("category"), F.col("value"))
+    code = F.when(F.col("category") & (F.col("kind") == "number"), F.col("value").cast("double").cast("int"))
+    return flat.groupBy("record_id").agg(
+        F.count(state).alias("n_items"), F.count_if(state == "blocking").alias("n_blocking"), F.count_if(state == "flagged").alias("n_flagged"), F.count_if(state == "printed_as_fact").alias("n_facts"),
+        F.count_if(F.col("away") & ~F.col("category") & (F.col("kind") == "object")).alias("n_discarded"), F.array_join(F.transform(F.array_sort(F.collect_set(code)), lambda c: c.cast("string")), ",").alias("categories"),
+    ).where("n_items > 0 or n_discarded > 0")

@@ -115,6 +115,26 @@ def word_probability(quotes: DataFrame, words: DataFrame) -> DataFrame:
     return quotes.join(agg, "quote_id", "left").select("quote_id", "session_id", "turn_id", "audio_start", F.coalesce("min_probability", F.lit(1.0)).alias("min_probability"))
 
 
+def word_cue(quotes: DataFrame, words: DataFrame, lead_s: float = 0.35, tail_s: float = 0.25, focus_s: float = 2.5, bucket: int = 256) -> DataFrame:
+    """J-07/R-18/P-24: where to listen to a quote, by its words in any turn.
+
+    ``quotes`` has session_id, quote_id, char_offset, char_end.  The cue begins
+    ``lead_s`` before the least probable word (the first of equals) and ends
+    ``tail_s`` after it, or with the quote, at most ``focus_s`` on.  Quotes and
+    words meet on stretches of ``bucket`` characters; quotes without words get null.
+    """
+    cut = lambda lo, hi: F.explode(F.expr(f"sequence({lo} div {bucket}, ({hi} - 1) div {bucket})"))
+    w = words.where("length(text) > 0 and char_offset >= 0").select("session_id", F.col("char_offset").cast("bigint").alias("w_lo"), (F.col("char_offset") + F.length("text")).cast("bigint").alias("w_hi"), "start_s", "end_s", "probability")
+    q = quotes.where("char_end > char_offset and char_offset >= 0").select("session_id", "quote_id", F.col("char_offset").cast("bigint").alias("q_lo"), F.col("char_end").cast("bigint").alias("q_hi"))
+    met = q.withColumn("b", cut("q_lo", "q_hi")).join(w.withColumn("b", cut("w_lo", "w_hi")), ["session_id", "b"]).where("w_lo < q_hi and w_hi > q_lo")
+    weak = F.min_by(F.struct("start_s", "end_s"), F.struct(F.coalesce("probability", F.lit(1.0)), F.col("w_lo")))
+    agg = met.groupBy("quote_id").agg(weak.alias("weak"), F.max("end_s").alias("stop"))
+    begin = F.greatest(F.lit(0.0), F.col("weak.start_s") - lead_s)
+    end = F.greatest(F.col("weak.end_s") + tail_s, F.least(F.col("stop"), F.col("weak.start_s") + focus_s))
+    timed = agg.select("quote_id", F.round(begin, 3).alias("cue_start_s"), F.round(end, 3).alias("cue_end_s"))
+    return quotes.select("quote_id", "session_id").join(timed, "quote_id", "left")
+
+
 def violations(sessions: DataFrame, turns: DataFrame, words: DataFrame) -> DataFrame:
     """F-12/F-13/P-26: how many rows break each rule of the data model (one row per broken rule)."""
     text = sessions.select("session_id", "transcript_text")

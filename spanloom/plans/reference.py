@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import dates, dosing, names, similarity
 from spanloom.operators import mentions, resolve, search, spans, visits, vocabulary, voices
 from spanloom.operators.dewey import ancestor, dewey_nodes
-from spanloom.operators.extraction import item_children
+from spanloom.operators.extraction import item_children, item_states
 from spanloom.session import table
 from spanloom.sources import transcripts
 from spanloom.streaming import retention
@@ -238,7 +238,14 @@ def span_occurrences(s, d):
     return found.where("match = 'exact'").select(F.col("quote_id").alias("entry_id"), "char_offset", "char_end")
 
 
-@query()
+@query(
+    r""",
+    q AS (SELECT DISTINCT entry_id, session_id, canonical_name AS quote FROM med_entries),
+    p AS (SELECT q.*, s.transcript_text AS tx, array_to_string(list_transform(string_split_regex(trim(quote), '\s+'), lambda w: regexp_escape(w)), '\s+') AS pat FROM q LEFT JOIN s USING (session_id)),
+    m AS (SELECT entry_id, CASE WHEN quote IS NULL OR NOT regexp_matches(quote, '[^\s\p{Z}]') THEN 'empty' WHEN contains(tx, quote) THEN 'exact' WHEN regexp_matches(tx, pat) THEN 'relaxed' ELSE 'missing' END AS m FROM p),
+    c AS (SELECT count(*) FILTER (m = 'exact') AS n_exact, count(*) FILTER (m = 'relaxed') AS n_relaxed, count(*) FILTER (m = 'missing') AS n_discarded, count(*) FILTER (m = 'empty') AS n_empty FROM m)
+    SELECT *, round((n_exact + n_relaxed) / (n_exact + n_relaxed + n_discarded), 6) AS fidelity FROM c"""
+)
 def span_fidelity(s, d):
     """A-16, R-01, F-04, J-09: entered names found in their session, exactly or but for blanks, or discarded."""
     return spans.fidelity(spans.find_spans(_quotes(s, d), _sessions(s, d), "entry_id", "session_id", "canonical_name", "transcript_text"))
@@ -266,6 +273,19 @@ def span_min_probability(s, d):
     return visits.word_probability(q, _words(s, d))
 
 
+@query(
+    """,
+    q AS (SELECT session_id, session_id || ':' || turn_id AS quote_id, char_start AS lo, char_end AS hi FROM t WHERE char_end > char_start),
+    m AS (SELECT q.quote_id, w.start_s, w.end_s, coalesce(w.probability, 1.0) AS p, w.char_offset AS o FROM q JOIN w ON q.session_id = w.session_id AND w.char_offset < q.hi AND w.char_offset + length(w.text) > q.lo),
+    a AS (SELECT quote_id, arg_min(start_s, (p, o)) AS ws, arg_min(end_s, (p, o)) AS we, max(end_s) AS stop FROM m GROUP BY quote_id)
+    SELECT quote_id, session_id, round(greatest(0.0, ws - 0.35), 3) AS cue_start_s, round(greatest(we + 0.25, least(stop, ws + 2.5)), 3) AS cue_end_s FROM q LEFT JOIN a USING (quote_id)"""
+)
+def quote_cues(s, d):
+    """J-07, R-18: where to listen to each turn, at its least certain word."""
+    q = _turns(s, d).where("char_end > char_start").select("session_id", F.concat_ws(":", "session_id", F.col("turn_id").cast("string")).alias("quote_id"), F.col("char_start").alias("char_offset"), "char_end")
+    return visits.word_cue(q, _words(s, d))
+
+
 @query()
 def span_overlap_dedup(s, d):
     """W-07: turns kept in order while they overlap no kept one in time."""
@@ -332,6 +352,19 @@ def brand_top12(s, d):
     return vocabulary.brand_ingredients(rows)
 
 
+@query(
+    r"""
+    WITH b AS (SELECT DISTINCT rxcui, trim(str) AS str, regexp_extract(str, '\[([^\]]+)\]\s*$', 1) AS brand,
+                      trim(regexp_replace(regexp_replace(regexp_replace(str, '\s*\[[^\]]*\]\s*$', ''), '^[0-9]+(\.[0-9]+)?\s+HR\s+', ''), '\s[0-9].*$', '')) AS ing FROM product),
+    c AS (SELECT lower(brand) AS brand_key, lower(ing) AS ingredient_key, arg_min(brand, (rxcui, brand)) AS brand_name, count(*) AS n FROM b WHERE brand <> '' AND ing <> '' GROUP BY 1, 2)
+    SELECT *, CAST(row_number() OVER (PARTITION BY brand_key ORDER BY n DESC, ingredient_key) AS INTEGER) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY brand_key ORDER BY n DESC, ingredient_key) <= 6"""
+)
+def ingredient_top6(s, d):
+    """T-04: ingredients of each brand, the six most frequent."""
+    rows = table(s, d, "product", "rxcui", "str").select("rxcui", F.trim("str").alias("str")).distinct()
+    return vocabulary.brand_ingredients(rows, top=6, per="brand_key")
+
+
 @query(
     r"""
     WITH p AS (SELECT DISTINCT rxcui, ingredient_key, regexp_extract(str, '([0-9]+(?:\.[0-9]+)?)\s*(MG|MCG|ML|G|UNT)\b', 1) AS a, lower(regexp_extract(str, '([0-9]+(?:\.[0-9]+)?)\s*(MG|MCG|ML|G|UNT)\b', 2)) AS u FROM product)
@@ -425,6 +458,20 @@ def resolve_exact(s, d):
     return hits.join(best, "q").where(rank == F.col("best")).groupBy("q").agg(F.count_distinct("rxcui").alias("n_concepts"), F.min("rxcui").alias("rxcui"))
 
 
+_EMPTY = ", ".join(f"'{w}'" for w in sorted(names.EMPTY_WORDS | dosing.NUMBERS.keys() | dosing.SCALES.keys() | dosing.UNITS.keys()))
+
+
+@query(
+    rf"""
+    SELECT count(*) AS n_names, count(*) FILTER (len(list_filter(regexp_extract_all(lower(n), '[a-z]{{2,}}'), lambda w: NOT list_contains([{_EMPTY}], w))) = 0) AS n_nothing
+    FROM (SELECT DISTINCT canonical_name AS n FROM med_entries WHERE canonical_name IS NOT NULL)"""
+)
+def names_nothing(s, d):
+    """F-05: typed names in which no word could be a name."""
+    rows = table(s, d, "med_entries", "canonical_name").where("canonical_name is not null").distinct()
+    return rows.agg(F.count("*").alias("n_names"), F.count_if(names.names_nothing(F.col("canonical_name"))).alias("n_nothing"))
+
+
 # ---------------------------------------------------------------- grammars
 
 
@@ -480,6 +527,12 @@ def quote_discovery(s, d):
     return rows.groupBy("record_id", "node").agg(F.max(F.when(F.col("field") == "text", F.col("value"))).alias("text"), F.max(F.when(F.col("field") == "char_offset", F.col("value"))).cast("double").cast("int").alias("char_offset")).where("text is not null and char_offset is not null")
 
 
+@query()
+def envelope_states(s, d):
+    """A-13, A-14: items of each envelope by disposition, discards, and categories."""
+    return item_states(table(s, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json")
+
+
 @query()
 def output_reading(s, d):
     """S-14: how each stored answer can be read (whole, salvaged from its outermost braces, malformed, empty)."""

@@ -1,7 +1,7 @@
 import json
 
 from spanloom.operators.dewey import dewey_nodes, read_record
-from spanloom.operators.extraction import item_children
+from spanloom.operators.extraction import item_children, item_states
 
 SCHEMA = "extraction_id bigint, raw_json string, kind string, path string"
 
@@ -56,3 +56,9 @@ def test_empty_and_deep(spark):
     assert found(spark) == []
     deep = '{"a":' * 300 + '{"medications": [{"kind": "medication", "mention_quote": "d"}]}' + "}" * 300
     assert found(spark, deep) == [(0, 0, "mention", 0, "d")]
+
+
+def test_item_states(spark):
+    record = {"medications": [{"kind": "medication", "disposition": "blocking", "d16Categories": [7, 2]}, {"kind": "medication", "disposition": "flagged", "d16_categories": []}], "discarded": [{"d16_category": 1, "kind": "medication"}]}
+    df = spark.createDataFrame([(1, json.dumps(record), "", ""), (1, json.dumps(record), "", ""), (2, "{}", "", ""), (3, None, "", "")], SCHEMA)
+    assert [tuple(r) for r in item_states(df, "extraction_id", "raw_json").collect()] == [(1, 2, 1, 1, 0, 1, "1,2,7")]
