@@ -133,7 +133,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
 }
 
+_LEAK_SQL = r"""
+        WITH clean AS (
+            SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+            UNION ALL SELECT DISTINCT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
+        bare AS (SELECT side, id, regexp_replace(regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g'), '</?(br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>', ' ', 'gi'), '</?[a-zA-Z][^<>]*>', '', 'g') AS t FROM clean),
+        words AS (SELECT side, id, string_split(trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM bare),
+        runs AS (SELECT DISTINCT side, id, unnest(list_transform(range(greatest(len(w) - 11, 0)), lambda i: array_to_string(list_slice(w, i + 1, i + 12), ' '))) AS run FROM words)
+        SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i ON d.run = i.run AND d.side = 'd' AND i.side = 'i'""".replace("\\\\", "\\")
+
 ORACLES: dict[str, str] = {
+    "p8_found": _LEAK_SQL,
     "p2_found": r"""
         WITH w AS (
             SELECT DISTINCT session_id, turn_id, word_idx, start_s, end_s,

@@ -193,8 +193,8 @@ def clean_row(text: str, layouts: Layouts) -> tuple[str, int | None, str | None]
         rest = _NOTE.sub(lambda m: " " if _is_note(m[0]) else m[0], rest)
     kept: list[str] = []
     for t in rest.split():
-        if len(t) > 12 and time_value(t) is not None:
-            continue
+        if t.count(":") == 2 and "." in t and time_value(t) is not None:
+            continue  # a mark with a fraction is no time of day
         bare = _EDGE.sub("", t)
         if HESITATION.match(bare.lower()) and bare != "ER":  # in capitals it is a release form
             continue
