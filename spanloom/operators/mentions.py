@@ -55,3 +55,22 @@ def top_spans(quotes: DataFrame, headings: tuple[str, ...], most: int = 3) -> Da
     once = quotes.groupBy("session_id", "char_offset", "char_end").agg(F.min_by("heading", place).alias("heading"))
     order = Window.partitionBy("session_id", "heading").orderBy("char_offset", "char_end")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def misattributed(quotes: DataFrame, named: DataFrame, most: int = 2) -> DataFrame:
+    """J-20: quotes that may belong to another item than the one they are attached to.
+
+    ``quotes`` has session_id, quote_id, item, turn_id (of the quote) and
+    mention_turn; ``named`` the distinct (session_id, turn_id, item) of items
+    named in turns.  A quote in its mention's turn, or in a turn that names its
+    item, is never one; else it is if more than ``most`` turns away, or if
+    another item is named strictly between.  Only near quotes look between, so
+    each meets at most ``most - 1`` turns by equality.
+    """
+    own = named.select("session_id", "turn_id", "item").distinct()
+    away = quotes.where("turn_id <> mention_turn").join(own, ["session_id", "turn_id", "item"], "left_anti").withColumn("gap", F.abs(F.col("turn_id") - F.col("mention_turn")))
+    near = away.where((F.col("gap") > 1) & (F.col("gap") <= most)).withColumn("between", F.explode(F.sequence(F.least("turn_id", "mention_turn") + 1, F.greatest("turn_id", "mention_turn") - 1)))
+    other = near.join(own.select("session_id", F.col("turn_id").alias("between"), F.col("item").alias("rival")), ["session_id", "between"]).where("rival <> item")
+    rivals = other.groupBy("session_id", "quote_id").agg(F.min(F.struct("between", "rival")).alias("r"))
+    judged = away.join(rivals, ["session_id", "quote_id"], "left").where((F.col("gap") > most) | F.col("r").isNotNull())
+    return judged.select("session_id", "quote_id", "item", "gap", F.coalesce("r.rival", F.lit("")).alias("rival"))

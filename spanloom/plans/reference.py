@@ -550,6 +550,28 @@ def mention_merge(s, d):
     return mentions.merge_mentions(m)
 
 
+@query(
+    r""",
+    k AS (SELECT DISTINCT key AS item FROM name_index WHERE NOT contains(key, ' ')),
+    n AS (SELECT DISTINCT u.session_id, u.turn_id, u.item FROM (SELECT session_id, turn_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS item FROM t) u JOIN k USING (item)),
+    i AS (SELECT session_id, item, min(turn_id) AS mention_turn, count(*) AS c FROM n GROUP BY 1, 2),
+    m AS (SELECT session_id, arg_min(item, (-c, item)) AS item, arg_min(mention_turn, (-c, item)) AS mention_turn FROM i GROUP BY 1),
+    q AS (SELECT t.session_id, t.turn_id, m.item, m.mention_turn, abs(t.turn_id - m.mention_turn) AS gap FROM t JOIN m USING (session_id) WHERE regexp_matches(t.text, '[0-9]+ (mg|milligrams)') AND t.turn_id <> m.mention_turn),
+    a AS (SELECT q.* FROM q ANTI JOIN n ON q.session_id = n.session_id AND q.turn_id = n.turn_id AND q.item = n.item),
+    b AS (SELECT a.session_id, a.turn_id, arg_min(n.item, (n.turn_id, n.item)) AS rival FROM a JOIN n ON a.session_id = n.session_id AND n.item <> a.item AND n.turn_id > least(a.turn_id, mention_turn) AND n.turn_id < greatest(a.turn_id, mention_turn) WHERE a.gap <= 2 GROUP BY 1, 2)
+    SELECT a.session_id, a.turn_id AS quote_id, a.item, a.gap, coalesce(b.rival, '') AS rival FROM a LEFT JOIN b USING (session_id, turn_id) WHERE a.gap > 2 OR b.rival IS NOT NULL"""
+)
+def misattributed_doses(s, d):
+    """J-20: stated doses far from, or cut off from, the mention of their session's chief drug."""
+    t = _turns(s, d)
+    keys = table(s, d, "name_index", "key").where("key not like '% %'").select(F.col("key").alias("item")).distinct()
+    named = t.select("session_id", "turn_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("item")).join(keys, "item").distinct()
+    items = named.groupBy("session_id", "item").agg(F.min("turn_id").alias("mention_turn"), F.count("*").alias("c"))
+    chief = items.groupBy("session_id").agg(F.min_by(F.struct("item", "mention_turn"), F.struct(F.negative("c"), F.col("item"))).alias("m")).select("session_id", "m.item", "m.mention_turn")
+    quotes = t.where(F.col("text").rlike("[0-9]+ (mg|milligrams)")).select("session_id", "turn_id", F.col("turn_id").alias("quote_id")).join(chief, "session_id")
+    return mentions.misattributed(quotes, named)
+
+
 @query()
 def dose_regimes(s, d):
     """A-11, A-12: regimes that each session's turns state, and where the dose moved."""

@@ -127,3 +127,22 @@ def test_registered_functions(spark):
 def test_context(spark):
     t = spark.createDataFrame([("s", i) for i in (1, 4, 6, 9)] + [("t", 3)], "session_id string, turn_id int")
     assert rows(visits.context_window(t, 1)) == [("s", 1, "1,4"), ("s", 4, "1,4,6"), ("s", 6, "4,6,9"), ("s", 9, "6,9"), ("t", 3, "3")]
+
+
+def test_misattribution(spark):
+    q = spark.createDataFrame([("s", i, "x", t, 1) for i, t in enumerate((1, 2, 3, 4, 6))] + [("t", 9, "x", 3, 1)], "session_id string, quote_id int, item string, turn_id int, mention_turn int")
+    n = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y"), ("s", 4, "x"), ("t", 1, "x")], "session_id string, turn_id int, item string")
+    assert rows(mentions.misattributed(q, n)) == [("s", 2, "x", 2, "y"), ("s", 4, "x", 5, "")]
+
+
+def test_names_nothing(spark):
+    from spanloom.functions.names import names_nothing
+
+    df = spark.createDataFrame([("Five hundred. Still on it",), ("water pill",), ("",), (None,), ("a 5",)], "t string")
+    assert [r.n for r in df.select(names_nothing(F.col("t")).alias("n")).collect()] == [True, False, True, True, True]
+
+
+def test_cues(spark):
+    w = spark.createDataFrame([("s", "ab", 0, 1.0, 1.4, 0.9), ("s", "cd", 3, 2.0, 2.5, 0.2), ("s", "ef", 6, 3.0, 9.0, None)], "session_id string, text string, char_offset int, start_s double, end_s double, probability double")
+    q = spark.createDataFrame([("s", 1, 0, 8), ("s", 2, 20, 30)], "session_id string, quote_id int, char_offset int, char_end int")
+    assert rows(visits.word_cue(q, w).select("quote_id", "cue_start_s", "cue_end_s")) == [(1, 1.65, 4.5), (2, None, None)]
