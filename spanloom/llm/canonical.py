@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.skew import salted_join
+
 MAX_EDITS = 2
-_SALTS = 8
 
 # Spellings that sound alike, and abbreviations of salt names.
 _SOUNDS = [("ph", "f"), ("kw", "qu"), ("cw", "qu"), ("ks", "x"), ("ck", "k"), ("y", "i"), ("k", "c"), ("z", "s")]
@@ -160,14 +161,14 @@ def map_to_reference(entries: DataFrame, entry_id: str, value: str, reference: D
     pairs = _variants(toks, longest).join(_variants(words, longest).select(F.col("token").alias("word"), "variant"), "variant").select("token", "word").distinct()
     measured = _measured(pairs)
     nearest = measured.groupBy("token").agg(F.min(F.struct("distance", "raw")).alias("best"))
-    repairs = measured.join(nearest, "token").where("distance = best.distance and raw = best.raw").select("token", "word", (1 - F.col("distance") / (2.0 * F.length("word")) - F.col("raw") / 1000.0).alias("sim"))
+    repairs = measured.join(nearest, "token").where("distance = best.distance and raw = best.raw").select("token", "word", (1 - F.col("distance") / (2.0 * F.length("word")) - F.col("raw") / 1000.0).alias("sim")).join(idf, "word")
 
-    repaired = pieces.join(repairs, "token").groupBy("name", "word").agg(F.max("sim").alias("sim")).join(idf, "word")
+    # a word like a common salt may stand in a third of all names: joins from names are salted
+    repaired = salted_join(pieces, repairs, ["token"], "name").groupBy("name", "word").agg(F.max("sim").alias("sim"), F.max("idf").alias("idf"))
     vector = repaired.groupBy("name").agg(F.collect_list(F.struct("word", "sim", "idf")).alias("got"))
     vector = vector.select("name", F.expr("map_from_entries(transform(got, x -> struct(x.word, x.sim)))").alias("sims"), F.expr("sqrt(aggregate(got, 0D, (a, x) -> a + x.idf * x.idf))").alias("size"))
-    anchored = vector.select("*", F.explode(F.map_keys("sims")).alias("anchor")).join(entry, "anchor")
+    anchored = salted_join(vector.select("*", F.explode(F.map_keys("sims")).alias("anchor")), entry, ["anchor"], "name")
     score = F.expr("aggregate(words, 0D, (a, x) -> a + x.idf * x.idf * coalesce(sims[x.word], 0D))") / (F.col("norm") * F.col("size"))
     best = anchored.withColumn("score", score).groupBy("name").agg(F.max_by(F.struct("code", "score"), F.struct(F.round("score", 9), F.negative(F.length("code")), F.translate("code", "0123456789", "9876543210"))).alias("best"))
-    decided = best.select("name", "best.code", "best.score", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    spread = typed.withColumn("salt", F.pmod(F.xxhash64("entry_id"), F.lit(_SALTS)).cast("int"))
-    return spread.join(decided, ["name", "salt"], "left").select("entry_id", F.coalesce("code", F.lit("")).alias("code"), "name", F.coalesce("score", F.lit(0.0)).alias("score"))
+    decided = best.select("name", "best.code", "best.score")
+    return salted_join(typed, decided, ["name"], "entry_id", "left").select("entry_id", F.coalesce("code", F.lit("")).alias("code"), "name", F.coalesce("score", F.lit(0.0)).alias("score"))

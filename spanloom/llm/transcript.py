@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.rangescan import range_scan
+from spanloom.operators.skew import salted_join
 from spanloom.session import checkpointed
 
 DEPTH = 4
@@ -283,8 +284,9 @@ def clean_turns(turns: DataFrame, words: DataFrame, with_text: bool = True, part
     told = cleaned.join(by_words, ["session_id", "turn_id"], "left").withColumn("told", F.coalesce("number", "label_no", "words_no"))
     lone = told.where("told is not null").withColumn("kind", F.coalesce("label_role", "role")).where("kind is not null")
     lone = lone.groupBy("session_id", "kind").agg(F.min("told").alias("lo"), F.max("told").alias("hi")).where("lo = hi").select("session_id", "kind", F.col("lo").alias("role_no"))
-    # only rows that nothing else tells meet the role map, so no session's rows pile up
-    open_rows = told.where("told is null").withColumn("kind", F.coalesce("label_role", "role")).join(lone, ["session_id", "kind"], "left")
+    # only rows that nothing else tells meet the role map
+    open_rows = told.where("told is null").withColumn("kind", F.coalesce("label_role", "role"))
+    open_rows = salted_join(open_rows, lone, ["session_id", "kind"], "turn_id", "left")
     named = told.where("told is not null").withColumn("speaker_no", F.col("told")).select("session_id", "turn_id", "speaker_no", "n_words", "clean").unionByName(
         open_rows.select("session_id", "turn_id", F.col("role_no").alias("speaker_no"), "n_words", "clean")
     )
