@@ -28,13 +28,18 @@ def assign_intervals(points: DataFrame, intervals: DataFrame, point_keys: list[s
     ``points`` has session_id, ``point_keys``, start_s, end_s; ``intervals``
     session_id, interval_id, start_s, end_s.  Ties go to the earliest interval,
     then to the smallest id; zero overlap (also zero-length words) is no match;
-    null times match nothing.  Both sides are cut into time buckets, so a long
+    null or infinite times match nothing.  Both sides are cut into time buckets, so a long
     session's words and intervals meet bucket by bucket rather than all with all.
     """
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bucket_s), F.greatest(F.floor(lo / bucket_s), F.ceil(hi / bucket_s) - 1)))
-    w = points.where("start_s is not null and end_s > start_s").select("session_id", *point_keys, F.col("start_s").alias("w_lo"), F.col("end_s").alias("w_hi")).withColumn("b", span(F.col("w_lo"), F.col("w_hi")))
-    i = intervals.where("start_s is not null and end_s > start_s").select("session_id", "interval_id", F.col("start_s").alias("i_lo"), F.col("end_s").alias("i_hi")).withColumn("b", span(F.col("i_lo"), F.col("i_hi")))
-    met = w.join(i, ["session_id", "b"]).where("w_lo < i_hi and w_hi > i_lo")
+    timed = "start_s is not null and end_s > start_s and abs(start_s) < 1e12 and abs(end_s) < 1e12"
+    w = points.where(timed).select("session_id", *point_keys, F.col("start_s").alias("w_lo"), F.col("end_s").alias("w_hi"))
+    i = intervals.where(timed).select("session_id", "interval_id", F.col("start_s").alias("i_lo"), F.col("end_s").alias("i_hi"))
+    cut = lambda df, lo, hi: df.withColumn("b", F.explode(F.sequence(F.floor(F.col(lo) / bucket_s), F.greatest(F.floor(F.col(lo) / bucket_s), F.ceil(F.col(hi) / bucket_s) - 1))))
+    # spans of absurd length would fill too many buckets; those few meet their session's rows directly
+    longest = 64 * bucket_s
+    short_w, long_w, short_i, long_i = (df.where(f"{hi} - {lo} {op} {longest}") for df, lo, hi in ((w, "w_lo", "w_hi"), (i, "i_lo", "i_hi")) for op in ("<=", ">"))
+    near = cut(short_w, "w_lo", "w_hi").join(cut(short_i, "i_lo", "i_hi"), ["session_id", "b"]).drop("b")
+    met = near.unionByName(w.join(long_i, "session_id")).unionByName(long_w.join(short_i, "session_id")).where("w_lo < i_hi and w_hi > i_lo")
     overlap = F.least("w_hi", "i_hi") - F.greatest("w_lo", "i_lo")
     best = met.groupBy("session_id", *point_keys).agg(F.max_by(F.struct("interval_id", overlap.alias("overlap")), F.struct(F.round(overlap, 6), F.negative("i_lo"), F.negative("interval_id"))).alias("hit"))
     return points.select("session_id", *point_keys).distinct().join(best, ["session_id", *point_keys], "left").select("session_id", *point_keys, "hit.interval_id", F.round("hit.overlap", 3).alias("overlap_s"))

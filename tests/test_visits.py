@@ -13,6 +13,8 @@ def test_intervals_largest_overlap_ties_and_none(spark):
     out = {(r.session_id, r.word_idx): r.interval_id for r in visits.assign_intervals(p, i, ["word_idx"]).collect()}
     assert out == {("s", 1): 10, ("s", 2): 10, ("s", 3): None, ("s", 4): None, ("s", 5): None, ("s", 6): 12, ("t", 1): None}
     assert visits.assign_intervals(p.where("false"), i, ["word_idx"]).count() == 0
+    wide = spark.createDataFrame([("s", 13, 0.0, 9e9), ("s", 14, float("nan"), float("inf"))], i.schema)
+    assert {r.word_idx: r.interval_id for r in visits.assign_intervals(p.where("session_id = 's'"), wide, ["word_idx"]).collect()} == {1: 13, 2: 13, 3: 13, 4: None, 5: None, 6: 13}
 
 
 def test_turns_and_offsets(spark):
