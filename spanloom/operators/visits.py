@@ -83,17 +83,18 @@ def turn_at(offsets: DataFrame, turns: DataFrame, bucket: int = 256) -> DataFram
     turn_id, char_start, char_end.  Every turn answers for the gap before it, so
     the as-of lookup is a containment: both sides meet on (session, stretch of
     ``bucket`` characters), which spreads a session of any length.  Turns without
-    a span are disregarded; offsets of unknown sessions, negative or null, get null.
+    a span are disregarded; a negative offset lies before the first turn; null
+    offsets and offsets of unknown sessions get null.
     """
     spans = turns.where("session_id is not null and char_end > char_start and char_start >= 0").select("session_id", F.col("turn_id").cast("int").alias("turn_id"), F.col("char_start").cast("bigint").alias("lo"), F.col("char_end").cast("bigint").alias("hi"))
     reach = annotate(spans, "session_id", ["lo", "turn_id"], lags=["hi"]).withColumn("start", F.least("lo", F.coalesce("prev_hi", F.lit(0)))).select("session_id", "turn_id", "lo", "hi", "start")
     cut = reach.withColumn("b", F.explode(F.expr(f"sequence(start div {bucket}, (hi - 1) div {bucket})")))
-    probes = offsets.select("session_id", "probe_id", F.col("char_offset").cast("bigint").alias("char_offset"), F.expr(f"char_offset div {bucket}").alias("b"))
-    held = probes.join(cut, ["session_id", "b"]).where("char_offset >= start and char_offset < hi")
+    probes = offsets.select("session_id", "probe_id", F.col("char_offset").cast("bigint").alias("char_offset"), F.expr(f"greatest(char_offset, 0) div {bucket}").alias("b"))
+    held = probes.join(cut, ["session_id", "b"]).where("greatest(char_offset, 0) >= start and char_offset < hi")
     best = held.groupBy("session_id", "probe_id").agg(F.min_by(F.struct("turn_id", (F.col("char_offset") >= F.col("lo")).alias("inside")), F.struct(F.col("char_offset") < F.col("lo"), F.negative("lo"), "turn_id")).alias("t"))
     final = spans.groupBy("session_id").agg(F.max_by("turn_id", F.struct("hi", "turn_id")).alias("last_id"))
     found = probes.join(best, ["session_id", "probe_id"], "left").join(final, "session_id", "left")
-    return found.select("session_id", "probe_id", "char_offset", F.coalesce("t.turn_id", F.when(F.col("char_offset") >= 0, F.col("last_id"))).alias("turn_id"), F.coalesce("t.inside", F.lit(False)).alias("inside"))
+    return found.select("session_id", "probe_id", "char_offset", F.coalesce("t.turn_id", F.when(F.col("char_offset").isNotNull(), F.col("last_id"))).alias("turn_id"), F.coalesce("t.inside", F.lit(False)).alias("inside"))
 
 
 def context_window(turns: DataFrame, reach: int = 2) -> DataFrame:

@@ -26,8 +26,8 @@ def test_turns_and_offsets(spark):
 
 def test_turn_at_gap_and_end(spark):
     t = spark.createDataFrame([("s", 1, 0, 4), ("s", 2, 5, 9)], "session_id string, turn_id int, char_start int, char_end int")
-    p = spark.createDataFrame([("s", i, o) for i, o in enumerate((0, 3, 4, 5, 20))], "session_id string, probe_id int, char_offset int")
-    assert [(r.char_offset, r.turn_id, r.inside) for r in visits.turn_at(p, t).orderBy("char_offset").collect()] == [(0, 1, True), (3, 1, True), (4, 2, False), (5, 2, True), (20, 2, False)]
+    p = spark.createDataFrame([("s", i, o) for i, o in enumerate((-1, 0, 3, 4, 5, 20))], "session_id string, probe_id int, char_offset int")
+    assert [(r.char_offset, r.turn_id, r.inside) for r in visits.turn_at(p, t).orderBy("char_offset").collect()] == [(-1, 1, False), (0, 1, True), (3, 1, True), (4, 2, False), (5, 2, True), (20, 2, False)]
 
 
 def test_spans(spark):
