@@ -273,6 +273,19 @@ def span_min_probability(s, d):
     return visits.word_probability(q, _words(s, d))
 
 
+@query(
+    """,
+    q AS (SELECT session_id, turn_id, session_id || ':' || turn_id AS quote_id, char_start AS lo, char_end AS hi FROM t),
+    m AS (SELECT q.quote_id, w.char_offset, w.start_s, w.probability FROM q JOIN w USING (session_id, turn_id) WHERE w.char_offset < q.hi AND w.char_offset + length(w.text) > q.lo),
+    a AS (SELECT quote_id, arg_min(start_s, char_offset) AS audio_start, min(probability) AS p FROM m GROUP BY quote_id)
+    SELECT q.quote_id, q.session_id, q.turn_id, a.audio_start, coalesce(a.p, 1.0) AS min_probability FROM q LEFT JOIN a USING (quote_id)"""
+)
+def turn_min_probability(s, d):
+    """J-06: least word probability under each turn, all of it (``span_min_probability`` stops after forty characters, as its SQL does)."""
+    q = _turns(s, d).select("session_id", "turn_id", F.concat_ws(":", "session_id", F.col("turn_id").cast("string")).alias("quote_id"), F.col("char_start").alias("char_offset"), "char_end")
+    return visits.word_probability(q, _words(s, d))
+
+
 @query(
     """,
     q AS (SELECT session_id, session_id || ':' || turn_id AS quote_id, char_start AS lo, char_end AS hi FROM t WHERE char_end > char_start),
