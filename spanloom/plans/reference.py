@@ -490,17 +490,22 @@ def names_nothing(s, d):
 
 @query()
 def sig_parse(s, d):
-    """N-01 to N-11: dosing fields of every turn that mentions an amount or a frequency."""
-    rows = _turns(s, d).where(F.col("text").rlike(r"(?i)\b(mg|milligrams?|daily|every|bedtime|as needed|times a day|tablets?)\b")).select("session_id", "turn_id", "text")
-    return rows.withColumn("sig", dosing.sig(F.col("text"))).select("session_id", "turn_id", "sig.*")
+    """N-01 to N-11: dosing fields of every turn of which the grammar reads any, or that only names an amount or a frequency."""
+    rows = _turns(s, d).select("session_id", "turn_id", "text").withColumn("sig", dosing.sig(F.col("text")))
+    read = (F.col("sig.status") != "unparseable") | F.coalesce("sig.dose_form", "sig.route", "sig.total_quantity").isNotNull() | F.col("sig.prn")
+    named = F.col("text").rlike(r"(?i)\b(mg|milligrams?|daily|every|bedtime|as needed|times a day|tablets?)\b")
+    return rows.where(read | named).select("session_id", "turn_id", "sig.*")
+
+
+_TIME_WORDS = "|".join([*(f"{u}s?" for u in dates.UNIT_DAYS), *dates.MONTHS, *dosing.WEEKDAYS, "yesterday", "today", "tomorrow", "before", "after"])
 
 
 @query()
 def spoken_dates(s, d):
-    """D-01 to D-10: relative dates in the sentences of each visit, resolved against its day."""
+    """D-01 to D-10: dates in the sentences of each visit, resolved against its day; unparseable ones that name a time stay in."""
     said = _turns(s, d).join(_sessions(s, d).select("session_id", "visit_date"), "session_id").select("session_id", "turn_id", "visit_date", F.posexplode(F.split("text", r"(?<=[.?!])\s+")).alias("sentence_no", "phrase"))
-    timed = said.where(F.col("phrase").rlike(r"(?i)\b(days?|weeks?|months?|years?|yesterday|today|tomorrow|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|june|july|august|september|october|november|december|before|after)\b"))
-    return timed.withColumn("r", dates.resolved(F.col("phrase"), F.col("visit_date"))).select("session_id", "turn_id", "sentence_no", "r.status", "r.resolved_date", "r.range_start", "r.range_end", "r.precision", "r.direction", "r.depends_on_event")
+    told = said.withColumn("r", dates.resolved(F.col("phrase"), F.col("visit_date"))).where((F.col("r.status") != "unparseable") | F.col("phrase").rlike(rf"(?i)\b({_TIME_WORDS})\b"))
+    return told.select("session_id", "turn_id", "sentence_no", "r.status", "r.resolved_date", "r.range_start", "r.range_end", "r.precision", "r.direction", "r.depends_on_event")
 
 
 @query(

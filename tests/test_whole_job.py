@@ -31,3 +31,14 @@ def test_least_probability_of_the_whole_turn(spark, tmp_path):
     _write(spark, tmp_path, "words", words, "session_id string, turn_id int, word_idx int, text string, char_offset int, start_s double, probability double, received_at timestamp")
     r = QUERIES["turn_min_probability"](spark, str(tmp_path)).first()
     assert (r.audio_start, r.min_probability) == (0.0, 0.31)
+
+
+def test_doses_and_dates_in_any_words_of_the_grammars(spark, tmp_path):
+    said = ["keep taking the pacleriamil twice a day for now", "two puffs if needed", "use it prn", "how is the garden", "the mg is on the box"]
+    _turns(spark, tmp_path, *(("clinician", t) for t in said), ("clinician", "It was fine in May. Come back in a fortnight. Ring prior to the operation. Good. Five weekdays, then a day."))
+    _write(spark, tmp_path, "sessions", [("s", AT.date(), AT)], "session_id string, visit_date date, received_at timestamp")
+    sigs = {r.turn_id: r for r in QUERIES["sig_parse"](spark, str(tmp_path)).collect()}
+    assert {0, 1, 2, 4} <= set(sigs) and 3 not in sigs
+    assert (sigs[0].frequency_per_day, sigs[1].dose_unit, sigs[2].prn, sigs[4].status) == (2.0, "puff", True, "unparseable")
+    dates = {r.sentence_no: r.status for r in QUERIES["spoken_dates"](spark, str(tmp_path)).where("turn_id = 5").collect()}
+    assert dates == {0: "resolved_range", 1: "resolved", 2: "unanchored", 4: "resolved"}
