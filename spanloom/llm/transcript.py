@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.rangescan import range_scan
 from spanloom.operators.skew import salted_join
+from spanloom.operators.visits import ROLES, role_class
 from spanloom.session import checkpointed
 
 DEPTH = 4
@@ -28,10 +29,6 @@ TIME_SLACK_S = 3.0
 
 # Vocabulary of labels, sounds and hesitations.
 _NUMBERED = {"speaker", "spk", "spkr", "s", "sp", "voice", "channel"}
-_ROLES = {
-    "clinician": "clinician", "doctor": "clinician", "dr": "clinician", "physician": "clinician", "md": "clinician",
-    "patient": "other", "pt": "other", "other": "other", "family": "other",
-}
 _SOUNDS = (
     "laugh chuckl giggl cough sneez sniff sigh clear throat breath gasp yawn groan hum whisper sob cry crying door phone ring beep buzz click bang knock noise static music typing "
     "pause silence silent blank audio crosstalk overlapping inaudible unintelligible indistinct background paper rustl chair scrap footstep baby dog bark applause keyboard mumbl foreign language"
@@ -161,7 +158,7 @@ class Layouts:
             return (i, n, "number") if ok else (i, 0, "")
         if s[5] >= MIN_LINES and min(s[6], s[5] - s[6]) <= 0.1 * s[5]:
             return i, n, "clinician" if s[6] * 2 > s[5] else "other"
-        return (i, n, _ROLES[word]) if word in _ROLES else (i, 0, "")
+        return (i, n, ROLES[word]) if word in ROLES else (i, 0, "")
 
 
 def _is_note(body: str) -> bool:
@@ -250,12 +247,6 @@ def speaker_number(c: str):
     return F.expr(f"try_cast(regexp_extract({c}, '([0-9]{{1,6}})[^0-9]*$', 1) as int)")
 
 
-def role_class(c: str):
-    low = F.lower(F.trim(F.col(c)))
-    clinician, other = ([k for k, v in _ROLES.items() if v == kind] for kind in ("clinician", "other"))
-    return F.when(low.isin(clinician), "clinician").when(low.isin(other), "other")
-
-
 def clean_turns(turns: DataFrame, words: DataFrame, with_text: bool = True, partitions: int | None = None) -> DataFrame:
     """Clean speaker turns: ``(session_id, first_turn_id, last_turn_id, speaker_no, n_words, text)``.
 

@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.rangescan import annotate
 
+# Spellings of the two roles.
+ROLES = {
+    "clinician": "clinician", "doctor": "clinician", "dr": "clinician", "physician": "clinician", "md": "clinician",
+    "patient": "other", "pt": "other", "other": "other", "family": "other",
+}
+
+
+def role_class(c: str) -> Column:
+    """``clinician`` or ``other`` for any spelling of the role in column ``c``, else null."""
+    low = F.lower(F.trim(F.col(c)))
+    clinician, other = ([k for k, v in ROLES.items() if v == kind] for kind in ("clinician", "other"))
+    return F.when(low.isin(clinician), "clinician").when(low.isin(other), "other")
+
 
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """One row per key: the one delivered last (repeated and late deliveries).

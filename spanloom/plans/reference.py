@@ -308,8 +308,8 @@ def span_overlap_dedup(s, d):
 
 @query()
 def restatements(s, d):
-    """W-08, X-14: clinician turns that restate an earlier one merge into it."""
-    rows = _turns(s, d).where(F.lower(F.trim("role")) == "clinician").select("session_id", "turn_id", "text")
+    """W-08, X-14: clinician turns, however the role is spelled, that restate an earlier one merge into it."""
+    rows = _turns(s, d).where(visits.role_class("role") == "clinician").select("session_id", "turn_id", "text")
     return spans.merge_restatements(rows, "session_id", "turn_id", "text")
 
 
@@ -621,6 +621,18 @@ def summary_top3(s, d):
     return mentions.top_spans(q, ("what_changes", "what_you_said", "open"))
 
 
+@query(
+    """,
+    q AS (SELECT session_id, char_start AS char_offset, char_end, CASE WHEN lower(trim(role)) IN ('clinician', 'doctor', 'dr', 'physician', 'md') THEN 'what_changes' WHEN role IS NULL THEN 'open' ELSE 'what_you_said' END AS heading FROM t)
+    SELECT session_id, char_offset, char_end, heading, CAST(row_number() OVER o AS INTEGER) AS rank FROM q WINDOW o AS (PARTITION BY session_id, heading ORDER BY char_offset, char_end) QUALIFY row_number() OVER o <= 3"""
+)
+def summary_roles_top3(s, d):
+    """T-06, U-05: as ``summary_top3``, with every spelling of the clinician's role (its SQL has one only)."""
+    heading = F.when(visits.role_class("role") == "clinician", "what_changes").when(F.col("role").isNull(), "open").otherwise("what_you_said")
+    q = _turns(s, d).select("session_id", F.col("char_start").alias("char_offset"), "char_end", heading.alias("heading"))
+    return mentions.top_spans(q, ("what_changes", "what_you_said", "open"))
+
+
 # ---------------------------------------------------------------- voices
 
 

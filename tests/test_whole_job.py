@@ -42,3 +42,10 @@ def test_doses_and_dates_in_any_words_of_the_grammars(spark, tmp_path):
     assert (sigs[0].frequency_per_day, sigs[1].dose_unit, sigs[2].prn, sigs[4].status) == (2.0, "puff", True, "unparseable")
     dates = {r.sentence_no: r.status for r in QUERIES["spoken_dates"](spark, str(tmp_path)).where("turn_id = 5").collect()}
     assert dates == {0: "resolved_range", 1: "resolved", 2: "unanchored", 4: "resolved"}
+
+
+def test_clinicians_by_any_spelling(spark, tmp_path):
+    _turns(spark, tmp_path, ("clinician", "call the clinic about swelling ankles"), (" Dr", "please call the clinic promptly about any swelling ankles today"), ("md", "bring plenty of water"), ("pt", "call the clinic about swelling ankles"))
+    assert sorted((r.turn_id, r.n_merged) for r in QUERIES["restatements"](spark, str(tmp_path)).collect()) == [(0, 2), (2, 1)]
+    headings = [r.heading for r in QUERIES["summary_roles_top3"](spark, str(tmp_path)).orderBy("char_offset").collect()]
+    assert headings == ["what_changes"] * 3 + ["what_you_said"]
