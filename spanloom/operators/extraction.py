@@ -9,6 +9,7 @@ from spanloom.operators.dewey import ancestor, dewey_nodes
 
 _LIST = r"(\.\[\])?"
 _CHILD = rf"\.(mention_quote(\.text)?|medication{_LIST}\.(ingredients|brand_names){_LIST}(\.name)?)$"
+_FIELD = rf"\.(mention_quote(\.text)?|medication{_LIST}\.rxcui|change_kind)$"
 _KEEP = rf"\.kind$|{_CHILD}"
 
 
@@ -46,6 +47,28 @@ def item_children(records: DataFrame, record_id: str, raw: str, item_kind: str =
     )
 
 
+def item_mentions(records: DataFrame, record_id: str, raw: str, item_kind: str = "medication", outside: str = "discarded") -> DataFrame:
+    """The mention of every item of ``item_kind`` with the code and the change that stand beside it.
+
+    Returns ``(record_id, med_ord, mention, rxcui, change_kind)``, in any layout
+    and under the rules of ``item_children``; of several codes the first counts.
+    """
+    nodes = dewey_nodes(records, record_id, raw, keep=rf"\.kind$|{_FIELD}").where(~F.col("path").rlike(rf"\.{outside}(\.|$)"))
+    suffix = F.regexp_extract("path", _FIELD, 0)
+    up = F.when(F.col("path").endswith(".kind"), 1).otherwise(F.size(F.split(suffix, r"\.")) - 1)
+    said = F.when(F.col("value").rlike(r"[^\s\u00A0\u2000-\u200B\u3000]"), F.col("value"))
+    rows = nodes.where("kind in ('string', 'number')").select("record_id", ancestor(F.col("dewey"), up).alias("item"), suffix.alias("field"), F.col("path").endswith(".kind").alias("is_kind"), "dewey", F.col("kind").alias("type"), "value", said.alias("said")).distinct()
+    of = lambda c: F.min_by("said", F.when(c & F.col("said").isNotNull(), F.struct("dewey", "said")))
+    mention = F.when(F.col("field").startswith(".mention_quote") & (F.col("type") == "string"), F.col("said"))
+    items = rows.groupBy("record_id", "item").agg(
+        F.max(F.col("is_kind") & (F.col("type") == "string") & (F.col("value") == item_kind)).alias("is_item"), F.collect_set(mention).alias("mentions"),
+        F.trim(of(F.col("field").endswith(".rxcui"))).alias("rxcui"), of((F.col("field") == ".change_kind") & (F.col("type") == "string")).alias("change_kind"),
+    ).where("is_item")
+    # a record is one JSON value
+    ranked = items.withColumn("med_ord", F.row_number().over(Window.partitionBy("record_id").orderBy("item")) - 1)
+    return ranked.select("record_id", "med_ord", F.explode("mentions").alias("mention"), "rxcui", "change_kind")
+
+
 def item_states(records: DataFrame, record_id: str, raw: str, outside: str = "discarded") -> DataFrame:
     """A-13/A-14: per record its items by disposition, its discards, and the categories they carry.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import dates, dosing, names, similarity
 from spanloom.operators import mentions, resolve, search, spans, visits, vocabulary, voices
 from spanloom.operators.dewey import ancestor, dewey_nodes
-from spanloom.operators.extraction import item_children, item_states
+from spanloom.operators.extraction import item_mentions, item_states
 from spanloom.session import table
 from spanloom.sources import transcripts
 from spanloom.streaming import retention
@@ -560,11 +560,11 @@ def output_reading(s, d):
 
 @query()
 def mention_merge(s, d):
-    """J-19, W-06, U-01: mentions of one text in a session merge, the first surviving."""
-    rows = item_children(table(s, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json").where("child_kind = 'mention'")
+    """J-19, W-06, U-01: mentions of one concept, or of one text without a code, in a session merge, the first surviving."""
+    rows = item_mentions(table(s, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json")
     owner = table(s, d, "extractions", "extraction_id", "session_id").distinct()
-    seq = F.col("extraction_id") * 1000 + F.col("med_ord")
-    m = rows.withColumnRenamed("record_id", "extraction_id").join(owner, "extraction_id").select("session_id", seq.alias("seq"), F.lit(None).cast("string").alias("rxcui"), F.col("child_text").alias("mention"), F.lit(None).cast("string").alias("change_kind"))
+    seq = F.struct("extraction_id", "med_ord")
+    m = rows.withColumnRenamed("record_id", "extraction_id").join(owner, "extraction_id").select("session_id", seq.alias("seq"), "rxcui", "mention", "change_kind")
     return mentions.merge_mentions(m)
 
 

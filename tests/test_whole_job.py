@@ -1,5 +1,6 @@
 """Registered queries do the whole job: cases past the cuts they once had."""
 
+import json
 from datetime import datetime
 
 from spanloom.plans.reference import QUERIES
@@ -49,3 +50,20 @@ def test_clinicians_by_any_spelling(spark, tmp_path):
     assert sorted((r.turn_id, r.n_merged) for r in QUERIES["restatements"](spark, str(tmp_path)).collect()) == [(0, 2), (2, 1)]
     headings = [r.heading for r in QUERIES["summary_roles_top3"](spark, str(tmp_path)).orderBy("char_offset").collect()]
     assert headings == ["what_changes"] * 3 + ["what_you_said"]
+
+
+def test_mentions_merge_by_code_in_any_layout(spark, tmp_path):
+    item = lambda text, code, change: {"kind": "medication", "mention_quote": {"text": text}, "medication": {"rxcui": code}, "change_kind": change}
+    many = [item(f"w{k}", None, None) for k in range(1001)]
+    raws = [
+        {"medications": [item("Water pill", "7", "started"), item("furosemide", "7", "continued")]},
+        {"payload": json.dumps({"medications": {"med-a-0": {"kind": "medication", "mentionQuote": "Lasix", "medication": [{"rxcui": "7"}], "changeKind": "stopped"}}})},
+        {"medications": [item("zz", None, "started")], "discarded": [item("zz", None, "stopped")]},
+        {"medications": many},
+        {"medications": [item("w1000", None, "started")]},
+    ]
+    _write(spark, tmp_path, "extractions", [(k, "s", json.dumps(r)) for k, r in enumerate(raws)], "extraction_id bigint, session_id string, raw_json string")
+    out = {r.item_key: r for r in QUERIES["mention_merge"](spark, str(tmp_path)).collect()}
+    assert (out["7"].n_mentions, out["7"].mention, out["7"].change_kind) == (3, "Water pill", "stopped")
+    assert (out["unresolved:zz"].n_mentions, out["unresolved:zz"].change_kind) == (1, "started")
+    assert out["unresolved:w1000"].n_mentions == 2 and tuple(out["unresolved:w1000"].first_seq) == (3, 1000)
