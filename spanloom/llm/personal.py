@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.transcript import HESITATION, _is_note
 
 ACCEPT = 0.5
-#: A listed name needs this many proposals, this share of all of them (which bounds the list), and this share of the word's uses.
-NAME_SUPPORT, NAME_MIN_SHARE, NAME_PURITY = 2, 1e-6, 0.1
+#: A listed name needs this many proposals, in a collection of any size, and this share of the word's uses.
+NAME_SUPPORT, NAME_PURITY = 2, 0.1
 _CONTEXT = 7
 
 # Words that make up or surround personal data.
@@ -272,8 +272,8 @@ def mask(text: str, mentions: list[Mention]) -> str:
 def learn_names(texts: DataFrame, column: str) -> frozenset[str]:
     """Words that titles and phrases show to be names, over the whole collection.
 
-    The list is bounded by ``1 / NAME_MIN_SHARE`` words: each needs that share
-    of all proposals.
+    The list holds every such word, so it grows with the distinct names of the
+    collection; it is held on the driver and sent with each task.
     """
     rows = texts.select(F.col(column).cast("string").alias("t")).where("t is not null")
 
@@ -290,10 +290,8 @@ def learn_names(texts: DataFrame, column: str) -> frozenset[str]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([shown[w] for w in words], pa.int64()), pa.array([used[w] for w in words], pa.int64())], names=["word", "shown", "used"])
 
     counts = rows.mapInArrow(propose, "word string, shown bigint, used bigint").groupBy("word").agg(F.sum("shown").alias("shown"), F.sum("used").alias("used"))
-    counts = counts.where("shown > 0").select("*")
-    total = counts.agg(F.sum("shown").alias("n")).first().n or 0
-    least = max(NAME_SUPPORT, NAME_MIN_SHARE * total)
-    return frozenset(r.word for r in counts.where((F.col("shown") >= F.lit(least)) & (F.col("shown") >= NAME_PURITY * F.col("used"))).select("word").toLocalIterator())
+    counts = counts.where("shown > 0")
+    return frozenset(r.word for r in counts.where((F.col("shown") >= NAME_SUPPORT) & (F.col("shown") >= NAME_PURITY * F.col("used"))).select("word").toLocalIterator())
 
 
 def find_personal(texts: DataFrame, keys: list[str], column: str, names: frozenset[str]) -> DataFrame:

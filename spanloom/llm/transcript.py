@@ -23,8 +23,8 @@ from spanloom.session import checkpointed
 
 DEPTH = 4
 AGREE = 0.6
-#: Lines a layout needs (also as a share of all lines, which bounds the number of layouts) before its statistics count.
-MIN_LINES, MIN_SHARE = 20, 1e-5
+#: Lines a layout needs, in a collection of any size, before its statistics count.
+MIN_LINES = 20
 TIME_SLACK_S = 3.0
 
 # Vocabulary of labels, sounds and hesitations.
@@ -263,9 +263,8 @@ def clean_turns(turns: DataFrame, words: DataFrame, with_text: bool = True, part
 
     counted = rows.select("text", "start_s", "number", "role").mapInArrow(_batch_stats, "path string, " + ", ".join(f"s{j} bigint" for j in range(7)))
     layouts = counted.groupBy("path").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(7)))
-    n_lines = (counted.where("path = ''").agg(F.sum("s0").alias("n")).first().n) or 0
-    # at most 1 / MIN_SHARE layouts; rarer ones follow the grammar of known labels
-    stats = {r.path: list(r)[1:] for r in layouts.where((F.col("s0") >= F.lit(max(MIN_LINES, MIN_SHARE * n_lines))) & (F.col("path") != "")).toLocalIterator()}
+    # layouts of fewer lines follow the grammar of known labels
+    stats = {r.path: list(r)[1:] for r in layouts.where((F.col("s0") >= MIN_LINES) & (F.col("path") != "")).toLocalIterator()}
     once = rows.dropDuplicates(["session_id", "turn_id"])
     cleaned = checkpointed(once.mapInArrow(_apply(stats), "session_id string, turn_id bigint, number int, role string, clean string, label_no int, label_role string, n_words int"))
     unlabelled = cleaned.where("number is null and label_no is null and n_words > 0").select("session_id", "turn_id")
