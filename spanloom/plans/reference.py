@@ -11,7 +11,7 @@ from spanloom.functions import dates, dosing, names, similarity
 from spanloom.operators import mentions, resolve, search, spans, visits, vocabulary, voices
 from spanloom.operators.dewey import ancestor, dewey_nodes
 from spanloom.operators.extraction import item_mentions, item_states
-from spanloom.session import table
+from spanloom.session import shuffle_partitions, table
 from spanloom.sources import transcripts
 from spanloom.streaming import retention
 
@@ -441,6 +441,20 @@ def lookalike_brands(s, d):
     return pairs.select("a", "b", F.round(similarity.jaro_winkler_similarity(F.col("a"), F.col("b")), 6).alias("jw"), F.levenshtein("a", "b").alias("edits"))
 
 
+@query(
+    """
+    WITH p AS (SELECT DISTINCT key AS a FROM name_index WHERE tty = 'BN' AND key <> '')
+    SELECT x.a AS a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 6) AS jw, CAST(levenshtein(x.a, y.a) AS INTEGER) AS edits FROM p x JOIN p y ON x.a < y.a WHERE jaro_winkler_similarity(x.a, y.a) >= 0.8"""
+)
+def lookalike_pairs(s, d):
+    """X-06, X-07: brands with a Jaro-Winkler similarity of 0.8 at least, however they begin (``lookalike_brands`` pairs equal heads only, as its SQL does)."""
+    a = table(s, d, "name_index", "tty", "key").where("tty = 'BN' and key <> ''").select(F.col("key").alias("q")).distinct()
+    index = a.select(F.lit("").alias("rxcui"), F.lit("BN").alias("tty"), F.col("q").alias("str"), F.col("q").alias("key"), F.lit("").alias("salt_key"), F.lit(0.0).alias("prior"))
+    met = resolve.fuzzy_candidates(a.repartition(shuffle_partitions(s), "q"), index).where("q < key").select(F.col("q").alias("a"), F.col("key").alias("b")).distinct()
+    jw = similarity.jaro_winkler_similarity(F.col("a"), F.col("b"))
+    return met.withColumn("raw", jw).where(F.col("raw") >= resolve.RECALL).select("a", "b", F.round("raw", 6).alias("jw"), F.levenshtein("a", "b").alias("edits"))
+
+
 @query()
 def phonetic_codes(s, d):
     """X-08: Double Metaphone codes of the index, and how many keys share each."""

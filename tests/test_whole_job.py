@@ -67,3 +67,8 @@ def test_mentions_merge_by_code_in_any_layout(spark, tmp_path):
     assert (out["7"].n_mentions, out["7"].mention, out["7"].change_kind) == (3, "Water pill", "stopped")
     assert (out["unresolved:zz"].n_mentions, out["unresolved:zz"].change_kind) == (1, "started")
     assert out["unresolved:w1000"].n_mentions == 2 and tuple(out["unresolved:w1000"].first_seq) == (3, 1000)
+
+
+def test_lookalikes_with_other_heads(spark, tmp_path):
+    _write(spark, tmp_path, "name_index", [("BN", "brantexol"), ("BN", "barntexol"), ("BN", "zumivir"), ("IN", "bratnexol")], "tty string, key string")
+    assert [(r.a, r.b) for r in QUERIES["lookalike_pairs"](spark, str(tmp_path)).collect()] == [("barntexol", "brantexol")]
