@@ -26,12 +26,21 @@ BUDGET = 1
 BLOCK_PIECES = 100_000
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-_BREAK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|section|article)\b[^<>]{0,300}>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
+_BREAK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|section|article)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10});")
 _GAP = re.compile(r"[\W_]+")
 
 
+def _without_comments(text: str) -> str:
+    """``text`` without closed comments of any length, in one pass; an open one stays."""
+    kept, at = [], 0
+    while (lo := text.find("<!--", at)) >= 0 and (hi := text.find("-->", lo + 4)) >= 0:
+        kept.append(text[at:lo])
+        at = hi + 3
+    return "".join([*kept, text[at:]])
+
+
 def plain_words(text: str) -> str:
     """Case-folded words joined by one space; markup and invisible characters gone."""
     if "&" in text:
@@ -39,7 +48,7 @@ def plain_words(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     if "<" in text:
-        text = _TAG.sub("", _BREAK.sub(" ", text))
+        text = _TAG.sub("", _BREAK.sub(" ", _without_comments(text)))
     return _GAP.sub(" ", text.casefold()).strip()
 
 
