@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.transcript import HESITATION, _is_note
+from spanloom.llm.transcript import HESITATION, is_note
 
 ACCEPT = 0.5
 #: A listed name needs this many proposals, in a collection of any size, and this share of the word's uses.
@@ -90,7 +90,7 @@ class Stream:
     """Tokens without notes, hesitations and stutters, with their places."""
 
     def __init__(self, text: str):
-        blanked = _NOTE.sub(lambda m: " " * len(m[0]) if _is_note(m[0]) else m[0], text) if any(c in text for c in "[({<*♪") else text
+        blanked = _NOTE.sub(lambda m: " " * len(m[0]) if is_note(m[0]) else m[0], text) if any(c in text for c in "[({<*♪") else text
         self.raw: list[str] = []
         self.low: list[str] = []
         self.start: list[int] = []

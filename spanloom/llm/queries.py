@@ -28,21 +28,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _clean_turns(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Clean turns, one per uninterrupted speaker, in spoken order, with their text."""
     turns = table(spark, d, "turns", "session_id", "turn_id", "speaker_cluster", "role", "start_s", "text")
-    rows = clean_turns(turns, table(spark, d, "words", "session_id", "turn_id", "speaker_cluster"), with_text)
+    rows = clean_turns(turns, table(spark, d, "words", "session_id", "turn_id", "speaker_cluster"))
     ints = ("first_turn_id", "last_turn_id", "speaker_no", "n_words")
-    return rows.select("session_id", *(F.col(c).cast("int").alias(c) for c in ints), *(["text"] if with_text else []))
+    return rows.select("session_id", *(F.col(c).cast("int").alias(c) for c in ints), "text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Clean turns, one per uninterrupted speaker, in spoken order."""
-    return _clean_turns(spark, d, with_text=False)
-
-
-def p4_turns(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the cleaned text."""
-    return _clean_turns(spark, d, with_text=True)
+    """The turns' first and last rows, speakers and words; the texts are made all the same."""
+    return p4_turns(spark, d).drop("text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

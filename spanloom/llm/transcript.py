@@ -9,8 +9,7 @@ layouts are applied, noise is removed and adjoining rows of a speaker merge.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +37,8 @@ HESITATION = re.compile(r"^(?:u+h+m*|u+m+|e+r+m*|a+h+m+|h+m+|e+h*m+|m{2,}|ä+h+m
 
 _CLOCK = re.compile(r"^[\[(<{|]*(?:(?:(\d+):)?(\d+):)(\d+(?:[.,]\d+)?)[\])>}|]*[,;-]?$")
 _SECONDS = re.compile(r"^[\[(<{|]+(\d+(?:\.\d+)?)s?[\])>}|]+$")
-_NOTE = re.compile(r"\(\([^()]{0,60}\)\)|<<[^<>]{0,60}>>|\[[^\[\]]{0,60}\]|\([^()]{0,60}\)|\{[^{}]{0,60}\}|<\|?[^<>|]{0,60}\|?>|\*[^*\s][^*]{0,60}\*|♪[^♪]{0,60}♪|♪")
+_NOTE = re.compile(r"\(\([^()]*\)\)|<<[^<>]*>>|\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<\|?[^<>|]*\|?>|\*[^*\s][^*]*\*|♪[^♪]*♪|♪")
+_OPEN = re.compile(r"[\[({<*♪]")
 _INNER = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _DELIMS = {"-", "—", "–", ">", ">>", "|", ":"}
@@ -97,45 +97,60 @@ def _label_at(forms: tuple[str, ...], i: int) -> tuple[str, int]:
     return "", 0
 
 
-def _batch_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per layout: lines, and how slot values agree with the row."""
-    stats: dict[str, list[int]] = defaultdict(lambda: [0] * 7)
+_HEADS = "session_id string, turn_id bigint, nth int, path string, " + ", ".join(f"s{j} int" for j in range(1, 7))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The layouts that a row may show, one after the other, and for the first how its slots agree with the row.
+
+    A row whose head is plain words shows none.  Further layouts are those that
+    remain when leading time marks and quote signs are taken off.
+    """
     for batch in batches:
-        for text, start, number, role in zip(*(batch.column(c).to_pylist() for c in ("text", "start_s", "number", "role"))):
+        out = []
+        for session, turn, text, start, number, role in zip(*(batch.column(c).to_pylist() for c in ("session_id", "turn_id", "text", "start_s", "number", "role"))):
             tokens = text.split(None, DEPTH + 2)
-            path = layout(tokens)
-            s = stats["\t".join(path)]
-            s[0] += 1
-            stats[""][0] += 1
-            i = 0
-            if path[0][0] == "T":
-                i = 1
-                if start is not None:
-                    s[1] += 1
-                    s[2] += abs(time_value(tokens[0]) - start) <= TIME_SLACK_S
-            word, n = _label_at(path, i) if i < len(path) else ("", 0)
-            if n:
-                digits = re.findall(r"\d+", "".join(tokens[i : i + n]))
-                if digits and number is not None:
-                    s[3] += 1
-                    s[4] += int(digits[-1]) == number
-                elif role is not None:
-                    s[5] += 1
-                    s[6] += role == "clinician"
-    keys = list(stats)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([stats[k][j] for k in keys], pa.int64()) for j in range(7))], names=["path", *(f"s{j}" for j in range(7))])
+            nth = 0
+            while tokens and (path := layout(tokens))[0] != "*":
+                out.append((session, turn, nth, "\t".join(path), *(_agreement(path, tokens, start, number, role) if not nth else (0,) * 6)))
+                if path[0][0] != "T" and path[0] != "D>>":
+                    break
+                text, nth = text.split(None, 1)[1] if len(tokens) > 1 else "", nth + 1
+                tokens = text.split(None, DEPTH + 2)
+        cols = list(zip(*out)) or [[]] * 10
+        types = [pa.string(), pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["session_id", "turn_id", "nth", "path", *(f"s{j}" for j in range(1, 7))])
+
+
+def _agreement(path: tuple[str, ...], tokens: list[str], start: float | None, number: int | None, role: str | None) -> tuple[int, ...]:
+    """(times, right ones, numbers, right ones, roles, clinicians) that the slots of one line show."""
+    s, i = [0] * 6, 0
+    if path[0][0] == "T":
+        i = 1
+        if start is not None:
+            s[0], s[1] = 1, int(abs(time_value(tokens[0]) - start) <= TIME_SLACK_S)
+    word, n = _label_at(path, i) if i < len(path) else ("", 0)
+    if n:
+        digits = re.findall(r"\d+", "".join(tokens[i : i + n]))
+        if digits and number is not None:
+            s[2], s[3] = 1, int(int(digits[-1]) == number)
+        elif role is not None:
+            s[4], s[5] = 1, int(role == "clinician")
+    return tuple(s)
 
 
 class Layouts:
     """Slots per layout: from its statistics where it has enough lines, else from the grammar of known labels."""
 
     def __init__(self, stats: dict[str, list[int]]):
-        self.stats, self.slots = stats, {}
+        self.stats, self.slots, self.told = stats, {}, {}
 
     def slot(self, path: tuple[str, ...]) -> tuple[int, int, str]:
         """(time tokens, label tokens, 'number' | role | '')."""
         key = "\t".join(path)
-        if (known := self.slots.get(key)) is None:
+        if (known := self.told.get(key) or self.slots.get(key)) is None:
+            if len(self.slots) >= 100_000:
+                self.slots.clear()
             known = self.slots[key] = self._infer(path, self.stats.get(key, [0] * 7))
         return known
 
@@ -161,7 +176,7 @@ class Layouts:
         return (i, n, ROLES[word]) if word in ROLES else (i, 0, "")
 
 
-def _is_note(body: str) -> bool:
+def is_note(body: str) -> bool:
     """A sound note or time mark, not something said in brackets."""
     inner = body.strip("[](){}<>*♪| ")
     if time_value(body) is not None or not any(c.isalnum() for c in inner):
@@ -170,6 +185,16 @@ def _is_note(body: str) -> bool:
     return body[0] == "♪" or bool(words) and len(words) <= 4 and any(_SOUND.match(w) for w in words)
 
 
+def without_notes(text: str, fill: Callable[[str], str]) -> str:
+    """``text`` with its sound notes and time marks replaced, also such as stand inside other brackets."""
+    out, at = [], 0
+    for m in _OPEN.finditer(text):
+        if m.start() >= at and (n := _NOTE.match(text, m.start())) and is_note(n[0]):
+            out += [text[at : n.start()], fill(n[0])]
+            at = n.end()
+    return "".join([*out, text[at:]]) if out else text
+
+
 def clean_row(text: str, layouts: Layouts) -> tuple[str, int | None, str | None]:
     """(what was said, number in the label, role in the label) of one row."""
     tokens = text.split()
@@ -187,8 +212,7 @@ def clean_row(text: str, layouts: Layouts) -> tuple[str, int | None, str | None]
         if labels and kind:
             break
     rest = " ".join(tokens)
-    if any(c in rest for c in "[({<*♪"):
-        rest = _NOTE.sub(lambda m: " " if _is_note(m[0]) else m[0], rest)
+    rest = without_notes(rest, lambda note: " ")
     kept: list[str] = []
     for t in rest.split():
         if t.count(":") == 2 and "." in t and time_value(t) is not None:
@@ -202,16 +226,29 @@ def clean_row(text: str, layouts: Layouts) -> tuple[str, int | None, str | None]
     return " ".join(kept), number, role
 
 
-def _apply(stats: dict[str, list[int]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layouts = Layouts(stats)
-        for batch in batches:
-            out = [clean_row(t, layouts) for t in batch.column("text").to_pylist()]
-            n = [sum(any(c.isalnum() for c in w) for w in o[0].split()) for o in out]
-            arrays = [*(batch.column(c) for c in ("session_id", "turn_id", "number", "role")), *(pa.array([o[k] for o in out], t) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["session_id", "turn_id", "number", "role", "clean", "label_no", "label_role", "n_words"])
+def _exceptions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Layouts whose statistics say something else than the grammar of known labels."""
+    plain = Layouts({})
+    for batch in batches:
+        out = []
+        for path, *s in zip(*(c.to_pylist() for c in batch.columns)):
+            steps = tuple(path.split("\t"))
+            if (slot := Layouts._infer(steps, s)) != plain.slot(steps):
+                out.append((path, *slot))
+        cols = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["path", "times", "labels", "slot"])
 
-    return run
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    layouts = Layouts({})
+    for batch in batches:
+        out = []
+        for t, told in zip(batch.column("text").to_pylist(), batch.column("told").to_pylist()):
+            layouts.told = {x["path"]: (x["times"], x["labels"], x["slot"]) for x in told} if told else {}
+            out.append(clean_row(t, layouts))
+        n = [sum(any(c.isalnum() for c in w) for w in o[0].split()) for o in out]
+        arrays = [*(batch.column(c) for c in ("session_id", "turn_id", "number", "role")), *(pa.array([o[k] for o in out], t) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.string()))), pa.array(n, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["session_id", "turn_id", "number", "role", "clean", "label_no", "label_role", "n_words"])
 
 
 _SEGMENT = "session_id string, first_turn_id bigint, last_turn_id bigint, speaker_no int, n_words bigint, text string, pid int, pos int"
@@ -247,7 +284,7 @@ def speaker_number(c: str):
     return F.expr(f"try_cast(regexp_extract({c}, '([0-9]{{1,6}})[^0-9]*$', 1) as int)")
 
 
-def clean_turns(turns: DataFrame, words: DataFrame, with_text: bool = True, partitions: int | None = None) -> DataFrame:
+def clean_turns(turns: DataFrame, words: DataFrame, partitions: int | None = None) -> DataFrame:
     """Clean speaker turns: ``(session_id, first_turn_id, last_turn_id, speaker_no, n_words, text)``.
 
     ``turns`` has session_id, turn_id, speaker_cluster, role, start_s, text;
@@ -257,16 +294,22 @@ def clean_turns(turns: DataFrame, words: DataFrame, with_text: bool = True, part
     row's own label; failing that of the label in its text, of its words, or of
     the one speaker of its role in the session; null if none of these tells, and
     nulls merge with nulls.  Empty input gives an empty result.
+
+    The statistics of layouts stay a table.  Layouts for which they say something
+    else than the grammar of known labels are joined, salted, to the rows that
+    show them.
     """
     rows = turns.select("session_id", F.col("turn_id").cast("bigint").alias("turn_id"), speaker_number("speaker_cluster").alias("number"), role_class("role").alias("role"), F.col("start_s").cast("double").alias("start_s"), F.col("text").cast("string").alias("text"))
     rows = rows.where("session_id is not null and turn_id is not null and text is not null")
 
-    counted = rows.select("text", "start_s", "number", "role").mapInArrow(_batch_stats, "path string, " + ", ".join(f"s{j} bigint" for j in range(7)))
-    layouts = counted.groupBy("path").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(7)))
+    heads = checkpointed(rows.mapInArrow(_heads, _HEADS))
+    stats = heads.where("nth = 0").groupBy("path").agg(F.count("*").alias("s0"), *(F.sum(f"s{j}").alias(f"s{j}") for j in range(1, 7)))
     # layouts of fewer lines follow the grammar of known labels
-    stats = {r.path: list(r)[1:] for r in layouts.where((F.col("s0") >= MIN_LINES) & (F.col("path") != "")).toLocalIterator()}
-    once = rows.dropDuplicates(["session_id", "turn_id"])
-    cleaned = checkpointed(once.mapInArrow(_apply(stats), "session_id string, turn_id bigint, number int, role string, clean string, label_no int, label_role string, n_words int"))
+    told = stats.where(F.col("s0") >= MIN_LINES).mapInArrow(_exceptions, "path string, times int, labels int, slot string")
+    shown = salted_join(heads.select("session_id", "turn_id", "path"), told, ["path"], "turn_id")
+    shown = shown.groupBy("session_id", "turn_id").agg(F.collect_set(F.struct("path", "times", "labels", "slot")).alias("told"))
+    once = rows.dropDuplicates(["session_id", "turn_id"]).join(shown, ["session_id", "turn_id"], "left").select("session_id", "turn_id", "number", "role", "text", "told")
+    cleaned = checkpointed(once.mapInArrow(_apply, "session_id string, turn_id bigint, number int, role string, clean string, label_no int, label_role string, n_words int"))
     unlabelled = cleaned.where("number is null and label_no is null and n_words > 0").select("session_id", "turn_id")
     spoken = words.select("session_id", F.col("turn_id").cast("bigint").alias("turn_id"), speaker_number("speaker_cluster").alias("w")).where("w is not null")
     spoken = spoken.join(unlabelled, ["session_id", "turn_id"], "left_semi").groupBy("session_id", "turn_id", "w").agg(F.count("*").alias("n"))
@@ -280,7 +323,7 @@ def clean_turns(turns: DataFrame, words: DataFrame, with_text: bool = True, part
     named = told.where("told is not null").withColumn("speaker_no", F.col("told")).select("session_id", "turn_id", "speaker_no", "n_words", "clean").unionByName(
         open_rows.select("session_id", "turn_id", F.col("role_no").alias("speaker_no"), "n_words", "clean")
     )
-    said = named.where("n_words > 0").withColumn("clean", F.col("clean") if with_text else F.lit(None).cast("string"))
+    said = named.where("n_words > 0")
     segments = checkpointed(range_scan(said, ["session_id", "turn_id"], _segments, _SEGMENT, partitions))
 
     # the first and last segment of each partition may go on across the border
