@@ -11,7 +11,7 @@ from spanloom.llm.canonical import map_to_reference
 from spanloom.llm.frequency import term_frequency
 from spanloom.llm.leaks import find_leaks
 from spanloom.llm.mixture import mix_sources, shuffled_copies
-from spanloom.llm.personal import find_personal, learn_names, mask_personal
+from spanloom.llm.personal import find_personal, mask_personal, name_table
 from spanloom.llm.residue import find_residue
 from spanloom.llm.runs import collapse_runs
 from spanloom.llm.transcript import clean_turns
@@ -60,27 +60,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 _TEXTS = {"sessions": ("transcript_text", None), "turns": ("text", "turn_id"), "dropped_words": ("text", "dropped_idx")}
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return name_table(table(spark, d, "sessions", "session_id", "transcript_text").distinct(), "transcript_text")
+
+
 def p7_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Every mention of personal data with its place and score."""
-    names = learn_names(table(spark, d, "sessions", "transcript_text"), "transcript_text")
-    found = None
+    texts = None
     for name, (column, row) in _TEXTS.items():
         row_no = F.col(row).cast("int") if row else F.lit(0)
-        texts = table(spark, d, name).select(F.lit(name).alias("source_table"), "session_id", row_no.alias("row_no"), column)
-        part = find_personal(texts, ["source_table", "session_id", "row_no"], column, names)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+        part = table(spark, d, name).select(F.lit(name).alias("source_table"), "session_id", row_no.alias("row_no"), F.col(column).alias("text"))
+        texts = part if texts is None else texts.unionByName(part)
+    return find_personal(texts, ["source_table", "session_id", "row_no"], "text", _names(spark, d)).distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The mentions' tables, rows, types and first characters."""
-    return p7_mentions(spark, d).select("source_table", "session_id", "row_no", "pii_type", "char_start")
+    return p7_mentions(spark, d).select("source_table", "session_id", "row_no", "pii_type", "char_start").distinct()
+
+
+def _masked(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    column, row = _TEXTS[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = table(spark, d, name, "session_id", *([row] if row else []), column).distinct()
+        return mask_personal(rows, column, _names(spark, d))
+
+    run.__doc__ = f"``{name}.{column}`` with typed placeholders instead of personal data."
+    return run
 
 
-def p7_masked_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with typed placeholders instead of personal data."""
-    names = learn_names(table(spark, d, "sessions", "transcript_text"), "transcript_text")
-    return mask_personal(table(spark, d, "turns", "session_id", "turn_id", "text"), "text", names).distinct()
+p7_masked_turns, p7_masked_sessions, p7_masked_dropped_words = map(_masked, ("turns", "sessions", "dropped_words"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_mentions": p7_mentions,
     "p7_masked_turns": p7_masked_turns,
+    "p7_masked_sessions": p7_masked_sessions,
+    "p7_masked_dropped_words": p7_masked_dropped_words,
     "p8_found": p8_found,
     "p8_leak_runs": p8_leak_runs,
     "p9_mix": p9_mix,
