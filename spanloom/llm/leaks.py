@@ -1,11 +1,11 @@
 """Evaluation passages leaking into a corpus: pigeonhole pieces and Myers checks.
 
-An item passage of ``min_words`` words with at most ``budget`` edits, split into
-``budget + 1`` pieces, contains one piece unchanged.  Pieces lie on a fixed grid
-of the item, short enough that every passage covers a whole one.  One
-Aho-Corasick pass over a document finds all exact piece hits; each hit is
-verified with Myers' bit-parallel distance of the passage around it, then by
-the exact rule (``min_words`` whole consecutive words).
+A passage is ``min_words`` successive words of an item.  Split into
+``budget + 1`` pieces, it keeps one of them unchanged under at most ``budget``
+edits; so the pieces of every passage go into one Aho-Corasick automaton, and a
+pass over a document finds all their exact hits.  Around each hit Myers'
+bit-parallel distance of the whole passage decides whether the document holds
+it, and with how many edits.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import checkpointed
+
 MIN_WORDS = 12
 BUDGET = 1
 #: Eval items are matched in blocks of at most this many pieces: the bound of what one task closure carries.
@@ -89,55 +91,65 @@ class _Item:
 
 
 class LeakMatcher:
-    """All items of one block, their pieces in one automaton."""
+    """All items of one block, the pieces of all their passages in one automaton."""
 
     def __init__(self, items: list[tuple], min_words: int = MIN_WORDS, budget: int = BUDGET):
         import ahocorasick
 
         self.min_words, self.budget = min_words, budget
-        self.step = max(1, min_words // (budget + 1))
+        self.cuts = [k * min_words // (budget + 1) for k in range(budget + 2)]
         self.items = [x for x in (_Item(k, t) for k, t in items) if x.words() >= min_words]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, set[tuple[int, int, int]]] = {}
         for n, item in enumerate(self.items):
-            for w in range(0, item.words() - self.step + 1, self.step):
-                pieces.setdefault(item.stream[item.starts[w] : item.starts[w + self.step]], []).append((n, w))
+            for w in range(item.words() - min_words + 1):
+                for lo, hi in zip(self.cuts, self.cuts[1:]):
+                    pieces.setdefault(item.stream[item.starts[w + lo] : item.starts[w + hi]], set()).add((n, w + lo, w + hi))
+        pieces.pop("", None)
         self.automaton = ahocorasick.Automaton()
         for piece, at in pieces.items():
-            self.automaton.add_word(piece, (len(piece), at))
+            self.automaton.add_word(piece, sorted(at))
         if pieces:
             self.automaton.make_automaton()
         self.empty = not pieces
 
     def find(self, text: str) -> dict[int, int]:
-        """Item number -> longest run of whole consecutive words found in ``text``."""
-        found: dict[int, int] = {}
+        """Item number -> longest run of whole consecutive words found in ``text``, of ``min_words`` at least."""
+        return {n: run for n, (_, run) in self.passages(plain_words(text)).items() if run >= self.min_words}
+
+    def passages(self, spaced: str) -> dict[int, tuple[int, int]]:
+        """Item number -> (least edits of a passage, longest unchanged run of whole words), for plain words.
+
+        Edits count characters; blanks are none, so a word may be broken anywhere.
+        """
+        found: dict[int, tuple[int, int]] = {}
         if self.empty:
             return found
-        spaced = plain_words(text)
         stream = spaced.replace(" ", "")
-        edges, seen = None, {}
-        for end, (length, places) in self.automaton.iter(stream):
-            for n, w in places:
+        edges, seen, measured, runs = None, {}, set(), {}
+        for end, places in self.automaton.iter(stream):
+            for n, p, q in places:
                 item = self.items[n]
-                offset = end + 1 - length - item.starts[w]  # of the item's start in the stream
-                if edges is None:
-                    gaps = np.cumsum([len(x) for x in spaced.split(" ")])
-                    edges = {0, *gaps.tolist()}
-                if item.starts[w] + length <= seen.get((n, offset), -1):
-                    continue  # inside a stretch that was looked at
-                lo, hi = self._extend(item, stream, offset, item.starts[w], item.starts[w] + length)
-                seen[n, offset] = hi
-                run = self._run(item, lo, hi, offset, edges)
-                if run is None:
-                    continue
-                first, last = run
-                if last - first < self.min_words:
+                offset = end + 1 - item.starts[q]  # of the item's start in the stream
+                if item.starts[q] > seen.get((n, offset), -1):  # not inside a stretch that was looked at
+                    if edges is None:
+                        edges = {0, *np.cumsum([len(x) for x in spaced.split(" ")]).tolist()}
+                    lo, hi = self._extend(item, stream, offset, item.starts[p], item.starts[q])
+                    seen[n, offset] = hi
+                    run = self._run(item, lo, hi, offset, edges)
+                    runs[n] = max(runs.get(n, 0), run[1] - run[0] if run else 0)
+                if found.get(n) == 0:
                     continue
-                passage = item.stream[item.starts[first] : item.starts[first + self.min_words]]
-                at = max(0, offset + item.starts[first] - self.budget)
-                if myers_distance(passage, stream[at : at + len(passage) + 2 * self.budget]) <= self.budget:
-                    found[n] = max(found.get(n, 0), last - first)
-        return found
+                for first, last in zip(self.cuts, self.cuts[1:]):  # the passages of which this is a piece
+                    w = p - first
+                    if q - p != last - first or w < 0 or w + self.min_words > item.words() or (n, w, offset) in measured:
+                        continue
+                    measured.add((n, w, offset))
+                    lo, hi = item.starts[w], item.starts[w + self.min_words]
+                    at = max(0, offset + lo - self.budget)
+                    edits = myers_distance(item.stream[lo:hi], stream[at : max(at, offset + hi + self.budget)])
+                    if edits <= min(self.budget, found.get(n, self.budget)):
+                        found[n] = edits
+        return {n: (edits, runs.get(n, 0)) for n, edits in found.items()}
 
     @staticmethod
     def _extend(item: _Item, stream: str, offset: int, lo: int, hi: int) -> tuple[int, int]:
@@ -162,11 +174,11 @@ class LeakMatcher:
         return (first, last) if last > first else None
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, step: int, limit: int) -> Iterator[list[tuple]]:
+def _blocks(items: DataFrame, item_id: str, text: str, pieces_per_word: int, limit: int) -> Iterator[list[tuple]]:
     block, pieces = [], 0
     query = items.select(F.col(item_id).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
     for row in query.distinct().toLocalIterator():
-        n = max(1, len(row.t.split()) // step)
+        n = max(1, len(row.t.split()) * pieces_per_word)
         if block and pieces + n > limit:
             yield block
             block, pieces = [], 0
@@ -176,36 +188,56 @@ def _blocks(items: DataFrame, item_id: str, text: str, step: int, limit: int) ->
         yield block
 
 
-def find_leaks(
+def find_passages(
     documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
     min_words: int = MIN_WORDS, budget: int = BUDGET, block_pieces: int = BLOCK_PIECES,
 ) -> DataFrame:
-    """``(doc_id, item_id, run_words)`` of documents holding an item's passage.
+    """``(doc_id, item_id, distance, run_words)`` of documents holding an item's passage with at most ``budget`` edits.
 
-    A passage is ``min_words`` whole consecutive words of the item; letter case,
+    A passage is ``min_words`` consecutive words of the item; letter case,
     punctuation, spacing, invisible characters and markup don't matter.
-    ``run_words`` is the longest such run.  The items are the stated query set:
-    they pass the driver in blocks of at most ``block_pieces`` pieces, every
-    block against all documents.  Null or empty texts, null ids and items of
-    fewer words match nothing; documents are never cut; equal rows give equal
-    rows once; an empty side gives an empty result.
+    ``distance`` is the least number of changed characters, ``run_words`` the
+    longest run of the item's words that stand unchanged and whole.  The items
+    are the stated query set: they pass the driver in blocks of at most
+    ``block_pieces`` pieces, every block against all documents, whose words are
+    made plain once.  Null or empty texts, null ids and items of fewer words
+    match nothing; documents are never cut; equal rows give equal rows once; an
+    empty side gives an empty result.
     """
-    schema = "doc_id bigint, item_id bigint, run_words int"
+    schema = "doc_id bigint, item_id bigint, distance int, run_words int"
     docs = documents.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where("d is not null and t is not null")
+    blocks = list(_blocks(items, item_id, item_text, 1 if budget == 0 else 2, block_pieces))
+    if not blocks:
+        return documents.sparkSession.createDataFrame([], schema)
+
+    def make_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain_words(t) for t in batch.column(1).to_pylist()], pa.string())], names=["d", "t"])
+
+    if many := len(blocks) > 1:
+        docs = checkpointed(docs.mapInArrow(make_plain, "d bigint, t string"))
     result = None
-    for block in _blocks(items, item_id, item_text, max(1, min_words // (budget + 1)), block_pieces):
+    for block in blocks:
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = LeakMatcher(block, min_words, budget)
             for batch in batches:
-                ids, keys, runs = [], [], []
+                rows = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for n, run in matcher.find(t).items():
-                        ids.append(d), keys.append(matcher.items[n].key), runs.append(run)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "run_words"])
+                    rows += [(d, matcher.items[n].key, *x) for n, x in matcher.passages(t if many else plain_words(t)).items()]
+                cols = list(zip(*rows)) or [[]] * 4
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=["doc_id", "item_id", "distance", "run_words"])
 
         part = docs.mapInArrow(scan, schema)
         result = part if result is None else result.unionByName(part)
-    if result is None:
-        return documents.sparkSession.createDataFrame([], schema)
-    return result.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
+    return result.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("run_words").alias("run_words"))
+
+
+def find_leaks(
+    documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
+    min_words: int = MIN_WORDS, budget: int = BUDGET, block_pieces: int = BLOCK_PIECES,
+) -> DataFrame:
+    """``(doc_id, item_id, run_words)``: the passages of ``find_passages`` of which ``min_words`` whole words stand unchanged."""
+    passages = find_passages(documents, doc_id, text, items, item_id, item_text, min_words, budget, block_pieces)
+    return passages.where(F.col("run_words") >= min_words).drop("distance")

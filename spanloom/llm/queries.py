@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.canonical import map_to_reference
 from spanloom.llm.frequency import term_frequency
-from spanloom.llm.leaks import find_leaks
+from spanloom.llm.leaks import find_leaks, find_passages
 from spanloom.llm.mixture import mix_sources, shuffled_copies
 from spanloom.llm.personal import find_personal, mask_personal, name_table
 from spanloom.llm.residue import find_residue
@@ -103,6 +103,11 @@ def p8_leak_runs(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents holding twelve words of an item with at most one changed character, and the edits."""
+    return find_passages(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+
+
 def _mixture(spark: SparkSession, d: str):
     return mix_sources(table(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", table(spark, d, "mix_targets"))
 
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_masked_dropped_words": p7_masked_dropped_words,
     "p8_found": p8_found,
     "p8_leak_runs": p8_leak_runs,
+    "p8_passages": p8_passages,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
