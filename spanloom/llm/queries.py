@@ -122,9 +122,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents", "doc_id", "text", "status_code"), "doc_id", "text", labelled=F.col("status_code") >= 400)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are template residue, filler or error pages."""
-    return find_residue(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").where("is_residue").select("doc_id")
+    return _residue(spark, d).where("is_residue").select("doc_id")
+
+
+def p10_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Residue and content words and unfilled fields of every document."""
+    return _residue(spark, d)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -145,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
+    "p10_pages": p10_pages,
 }
 
 _LEAK_SQL = r"""
