@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.skew import salted_join
 
 MAX_EDITS = 2
+#: The score that an entry needs to be meant.
+LEAST = 0.6
 
 # Spellings that sound alike, and abbreviations of salt names.
 _SOUNDS = [("ph", "f"), ("kw", "qu"), ("cw", "qu"), ("ks", "x"), ("ck", "k"), ("y", "i"), ("k", "c"), ("z", "s")]
@@ -125,33 +128,39 @@ def _measured(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "token string, word string, distance int, raw int")
 
 
-def map_to_reference(entries: DataFrame, entry_id: str, value: str, reference: DataFrame, key: str, code: str) -> DataFrame:
+def map_to_reference(entries: DataFrame, entry_id: str, value: str, reference: DataFrame, key: str | list[str], code: str, least: float = LEAST) -> DataFrame:
     """``(entry_id, code, name, score)``: the reference entry each value means.
 
     One row per entry id and value that is neither null nor blank; repeated rows
-    count once.  ``code`` is '' if the value means no entry.  Ties go to the
-    smallest code.  An empty reference maps everything to ''; null keys or
-    codes in it are disregarded; extra columns are ignored.
+    count once.  ``key`` names the columns of the reference that spell its
+    entries.  ``code`` is '' if no entry scores ``least``.  Ties go to the
+    smallest code, also among the codes of one spelling.  An empty reference maps
+    everything to ''; null keys or codes in it are disregarded; extra columns are
+    ignored.
 
     Method: values are reduced to distinct names and tokens.  Tokens (and joined
     neighbours, for words typed apart) meet reference words in an equi-join on
-    deletion variants of their sound, verified by edit distance; the nearest
-    words repair the token.  An entry is a candidate of a name whose repaired
-    tokens hold its rarest word, and candidates are ranked by soft TF-IDF over
-    all their words.  The join back to the entries is salted, since one name may
-    hold a third of them.
+    deletion variants of their sound, verified by edit distance; every word
+    within the edits repairs the token, at its similarity.  Entries are ranked by
+    soft TF-IDF over all their words.  Candidates of a name are the entries that
+    share a repaired word with it, but for words so common that an entry sharing
+    only these can't score ``least`` (see ``_anchored``).  The joins from names
+    are salted, since one name or word may hold a third of them.
     """
     blank = r"^[\s\p{Z}​﻿]*$"
     typed = entries.select(F.col(entry_id).cast("bigint").alias("entry_id"), F.col(value).cast("string").alias("name")).where(F.col("name").isNotNull() & ~F.col("name").rlike(blank)).distinct()
     names = typed.select("name").distinct()
-    listed = reference.select(F.col(key).cast("string").alias("name"), F.col(code).cast("string").alias("code")).where("name is not null and code is not null")
-    listed = listed.groupBy("name").agg(F.min("code").alias("code"))
+    keys = [key] if isinstance(key, str) else key
+    spelled = F.explode(F.array(*(F.col(k).cast("string") for k in keys)))
+    listed = reference.select(spelled.alias("spelling"), F.col(code).cast("string").alias("code")).where("spelling is not null and code is not null")
+    listed = listed.select(F.lower(F.trim(F.regexp_replace("spelling", r"[^\p{L}\p{N}]+", " "))).alias("name"), "code").where("name <> ''")
+    listed = listed.groupBy("name").agg(F.min_by("code", _code_order("code")).alias("code"))
 
-    ref_words = listed.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
+    ref_words = listed.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     n = listed.count()
     idf = ref_words.groupBy("word").agg(F.log1p(F.lit(float(max(n, 1))) / F.count("*")).alias("idf"))
-    entry = ref_words.join(idf, "word").groupBy("name").agg(F.collect_list(F.struct("word", "idf")).alias("words"), F.max_by("word", F.struct("idf", F.length("word"), "word")).alias("anchor"))
-    entry = entry.withColumn("norm", F.expr("sqrt(aggregate(words, 0D, (a, x) -> a + x.idf * x.idf))")).join(listed, "name").select("anchor", "words", "norm", "code", F.col("name").alias("entry"))
+    entry = _anchored(ref_words.join(idf, "word").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("idf", "word")), asc=False).alias("words")), least)
+    entry = entry.join(listed, "name").select(F.explode("anchors").alias("anchor"), "words", "norm", "code", F.col("name").alias("entry"))
 
     pieces = _tokenised(names)
     words = idf.select(F.col("word").alias("token"))
@@ -161,14 +170,37 @@ def map_to_reference(entries: DataFrame, entry_id: str, value: str, reference: D
     pairs = _variants(toks, longest).join(_variants(words, longest).select(F.col("token").alias("word"), "variant"), "variant").select("token", "word").distinct()
     measured = _measured(pairs)
     nearest = measured.groupBy("token").agg(F.min(F.struct("distance", "raw")).alias("best"))
-    repairs = measured.join(nearest, "token").where("distance = best.distance and raw = best.raw").select("token", "word", (1 - F.col("distance") / (2.0 * F.length("word")) - F.col("raw") / 1000.0).alias("sim")).join(idf, "word")
-
-    # a word like a common salt may stand in a third of all names: joins from names are salted
-    repaired = salted_join(pieces, repairs, ["token"], "name").groupBy("name", "word").agg(F.max("sim").alias("sim"), F.max("idf").alias("idf"))
-    vector = repaired.groupBy("name").agg(F.collect_list(F.struct("word", "sim", "idf")).alias("got"))
-    vector = vector.select("name", F.expr("map_from_entries(transform(got, x -> struct(x.word, x.sim)))").alias("sims"), F.expr("sqrt(aggregate(got, 0D, (a, x) -> a + x.idf * x.idf))").alias("size"))
-    anchored = salted_join(vector.select("*", F.explode(F.map_keys("sims")).alias("anchor")), entry, ["anchor"], "name")
-    score = F.expr("aggregate(words, 0D, (a, x) -> a + x.idf * x.idf * coalesce(sims[x.word], 0D))") / (F.col("norm") * F.col("size"))
-    best = anchored.withColumn("score", score).groupBy("name").agg(F.max_by(F.struct("code", "score"), F.struct(F.round("score", 9), F.negative(F.length("code")), F.translate("code", "0123456789", "9876543210"))).alias("best"))
+    # a token weighs what its nearest word does, whichever word it stands for
+    near = (F.col("distance") == F.col("best.distance")) & (F.col("raw") == F.col("best.raw"))
+    within = measured.join(nearest, "token").join(idf, "word")
+    own = within.where(near).groupBy("token").agg(F.max("idf").alias("own"))
+    repairs = within.join(own, "token").select("token", "word", "idf", "own", near.alias("nearest"), (1 - F.col("distance") / (2.0 * F.length("word")) - F.col("raw") / 1000.0).alias("sim"))
+
+    repaired = salted_join(pieces, repairs, ["token"], "name").groupBy("name", "word").agg(F.max_by(F.struct("sim", "own"), F.struct("sim", "own")).alias("as"), F.max("idf").alias("idf"), F.max("nearest").alias("nearest"))
+    vector = repaired.groupBy("name").agg(F.collect_list(F.struct("word", (F.col("as.sim") * F.col("as.own")).alias("w"), "idf", "nearest")).alias("got"))  # words of one name
+    vector = vector.select("name", F.expr("map_from_entries(transform(got, x -> struct(x.word, x.w)))").alias("sims"), F.expr("sqrt(aggregate(filter(got, x -> x.nearest), 0D, (a, x) -> a + x.idf * x.idf))").alias("size"))
+    met = salted_join(vector.select("*", F.explode(F.map_keys("sims")).alias("anchor")), entry, ["anchor"], "name")
+    score = F.expr("aggregate(words, 0D, (a, x) -> a + x.idf * coalesce(sims[x.word], 0D))") / (F.col("norm") * F.col("size"))
+    best = met.withColumn("score", score).where(F.col("score") >= least).groupBy("name").agg(F.min_by(F.struct("code", "score"), F.struct(F.negative(F.round("score", 9)), _code_order("code"))).alias("best"))
     decided = best.select("name", "best.code", "best.score")
     return salted_join(typed, decided, ["name"], "entry_id", "left").select("entry_id", F.coalesce("code", F.lit("")).alias("code"), "name", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _code_order(c: str) -> Column:
+    """Codes of digits as numbers, others after them as text."""
+    return F.struct(F.length(c), F.col(c))
+
+
+def _anchored(entries: DataFrame, least: float) -> DataFrame:
+    """``entries`` with their norm and the words by which they are found.
+
+    ``words`` stand rarest first.  A name that shares no word before the k-th
+    has a score of at most the share of the entry's norm that the words from the
+    k-th on make up (Cauchy-Schwarz); twice that mass where a token stands for two
+    of its words, which is allowed for.  Where even that is below ``least`` the
+    words from the k-th on need not find the entry.
+    """
+    norm = F.expr("sqrt(aggregate(words, 0D, (a, x) -> a + x.idf * x.idf))")
+    rest = "sqrt(aggregate(slice(words, i + 1, size(words)), 0D, (a, y) -> a + y.idf * y.idf))"
+    anchors = F.expr(f"transform(filter(words, (x, i) -> {rest} >= {least / math.sqrt(2)} * norm), x -> x.word)")
+    return entries.withColumn("norm", norm).withColumn("anchors", anchors)

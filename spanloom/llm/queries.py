@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
     """The same with the name as typed and the score of its match."""
-    mapped = map_to_reference(table(spark, d, "med_entries", "entry_id", "canonical_name"), "entry_id", "canonical_name", table(spark, d, "name_index", "key", "rxcui"), "key", "rxcui")
+    mapped = map_to_reference(table(spark, d, "med_entries", "entry_id", "canonical_name"), "entry_id", "canonical_name", table(spark, d, "name_index", "str", "key", "rxcui"), ["key", "str"], "rxcui")
     return mapped.withColumnRenamed("code", "rxcui")
 
 
