@@ -13,7 +13,6 @@ from spanloom.session import shuffle_partitions
 
 RARE_RECORDS = 2
 COMMON_SHARE = 0.02
-_SALTS = 16
 _PAIRS = "field_name string, term string, record string, occ bigint"
 
 
@@ -82,7 +81,7 @@ def term_frequency(rows: DataFrame, record: str, fields: dict[str, str | None],
         branch = values.select("field_name", parts.alias("raw"), "record").select("field_name", clean(F.col("raw")).alias("term"), "record", F.lit(1).cast("bigint").alias("occ")).where("term <> ''")
         branches = branch if branches is None else branches.unionByName(branch)
     n = partitions or shuffle_partitions(rows.sparkSession)
-    salt = F.pmod(F.xxhash64("record"), F.lit(_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("record"), F.lit(n)).cast("int")  # as many parts as tasks, whatever share a term holds
     spread = branches.mapInArrow(_pre_count, _PAIRS).repartition(n, "field_name", "term", salt).sortWithinPartitions("field_name", "term", "record")
     partial = spread.mapInArrow(_last_seen, "field_name string, term string, n_occ bigint, n_records bigint")
     totals = partial.groupBy("field_name", "term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_records").alias("n_records"))

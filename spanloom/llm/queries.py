@@ -113,8 +113,13 @@ def _mixture(spark: SparkSession, d: str):
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chosen copy of a document, globally shuffled."""
-    return shuffled_copies(_mixture(spark, d).repeats)
+    """The mixed corpus: one row per chosen copy of a document, with its text, globally shuffled."""
+    return shuffled_copies(_mixture(spark, d).texts)
+
+
+def p9_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """How often every used document is repeated, and its tokens."""
+    return _mixture(spark, d).repeats
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_leak_runs": p8_leak_runs,
     "p8_passages": p8_passages,
     "p9_mix": p9_mix,
+    "p9_repeats": p9_repeats,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_pages": p10_pages,
