@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.dewey import ancestor, dewey_nodes
+from spanloom.operators.dewey import ancestor, dewey_nodes, once, step_number
 
 _LIST = r"(\.\[\])?"
 _CHILD = rf"\.(mention_quote(\.text)?|medication{_LIST}\.(ingredients|brand_names){_LIST}(\.name)?)$"
@@ -16,35 +16,44 @@ _KEEP = rf"\.kind$|{_CHILD}"
 def item_children(records: DataFrame, record_id: str, raw: str, item_kind: str = "medication", outside: str = "discarded") -> DataFrame:
     """Children of every item of ``item_kind``: mention text, ingredients, brands.
 
-    Returns ``(record_id, item, med_ord, child_kind, child_ord, child_text)``;
-    ``item`` is the Dewey label of the item and ``med_ord`` its 0-based rank in
-    the record.  Items below a key named ``outside`` don't count.  Blank and null
-    values yield no row but keep their position.  Unreadable, cut, empty or null
-    records and records without items yield nothing; repeated records count once.
+    Returns ``(record_id, item, med_ord, child_kind, child_ord, child_text,
+    node)``; ``item`` and ``node`` are the Dewey labels of the item and of the
+    child, ``med_ord`` is the item's 0-based rank in the record.  Items below a key
+    named ``outside`` don't count.  Blank and null values yield no row but keep
+    their position.  Unreadable, cut, empty or null records and records without
+    items yield nothing; repeated records count once.
     """
-    nodes = dewey_nodes(records, record_id, raw, keep=_KEEP).where(~F.col("path").rlike(rf"\.{outside}(\.|$)"))
+    ranked = _ranked_items(once(records, record_id, raw), item_kind, outside)
+    return ranked.where("child_kind <> 'kind' and child_text rlike '[^\\\\s\\\\u00A0\\\\u2000-\\\\u200B\\\\u3000]'").select(
+        "record_id", "item", "med_ord", "child_kind", "child_ord", "child_text", "node"
+    )
+
+
+def item_table(records: DataFrame, record_id: str, raw: str, item_kind: str = "medication", outside: str = "discarded") -> DataFrame:
+    """``(record_id, item, med_ord)``: the items themselves, also those without children, under the rules of ``item_children``."""
+    ranked = _ranked_items(once(records, record_id, raw), item_kind, outside)
+    return ranked.where("child_kind = 'kind'").select("record_id", "item", "med_ord").distinct()
+
+
+def _ranked_items(records: DataFrame, item_kind: str, outside: str) -> DataFrame:
+    nodes = dewey_nodes(records, "record_id", "raw", keep=_KEEP).where(~F.col("path").rlike(rf"\.{outside}(\.|$)"))
     suffix = F.regexp_extract("path", _CHILD, 0)
     up = F.when(F.col("path").endswith(".kind"), 1).otherwise(F.size(F.split(suffix, r"\.")) - 1)
     listed = F.regexp_extract("path", r"\.(ingredients|brand_names)(\.\[\])", 2) != ""
-    position = F.when(F.col("path").endswith(".[].name") & listed, F.element_at(F.split("dewey", r"\."), -2).cast("int")).when(listed, F.col("ord")).otherwise(0)
+    position = F.when(F.col("path").endswith(".[].name") & listed, step_number(F.element_at(F.split("dewey", r"\."), -2)).cast("int")).when(listed, F.col("ord")).otherwise(0)
     kind = (
         F.when(F.col("path").endswith(".kind"), "kind")
         .when(suffix.startswith(".mention_quote"), "mention")
         .when(suffix.contains(".ingredients"), "ingredient")
         .otherwise("brand")
     )
-    rows = (
-        nodes.where("kind = 'string'")
-        .select("record_id", ancestor(F.col("dewey"), up).alias("item"), kind.alias("child_kind"), position.alias("child_ord"), F.col("value").alias("child_text"))
-        .distinct()
+    rows = nodes.where("kind = 'string'").select(
+        "record_id", ancestor(F.col("dewey"), up).alias("item"), kind.alias("child_kind"), position.alias("child_ord"), F.col("value").alias("child_text"), F.col("dewey").alias("node")
     )
     marks = F.max((F.col("child_kind") == "kind") & (F.col("child_text") == item_kind))
     # both windows share the partitioning by record; a record is one JSON value
     items = rows.withColumn("is_item", marks.over(Window.partitionBy("record_id", "item"))).where("is_item")
-    ranked = items.withColumn("med_ord", F.dense_rank().over(Window.partitionBy("record_id").orderBy("item")) - 1)
-    return ranked.where("child_kind <> 'kind' and child_text rlike '[^\\\\s\\\\u00A0\\\\u2000-\\\\u200B\\\\u3000]'").select(
-        "record_id", "item", "med_ord", "child_kind", "child_ord", "child_text"
-    )
+    return items.withColumn("med_ord", F.dense_rank().over(Window.partitionBy("record_id").orderBy("item")) - 1)
 
 
 def item_mentions(records: DataFrame, record_id: str, raw: str, item_kind: str = "medication", outside: str = "discarded") -> DataFrame:
@@ -53,7 +62,7 @@ def item_mentions(records: DataFrame, record_id: str, raw: str, item_kind: str =
     Returns ``(record_id, med_ord, mention, rxcui, change_kind)``, in any layout
     and under the rules of ``item_children``; of several codes the first counts.
     """
-    nodes = dewey_nodes(records, record_id, raw, keep=rf"\.kind$|{_FIELD}").where(~F.col("path").rlike(rf"\.{outside}(\.|$)"))
+    nodes = dewey_nodes(once(records, record_id, raw), "record_id", "raw", keep=rf"\.kind$|{_FIELD}").where(~F.col("path").rlike(rf"\.{outside}(\.|$)"))
     suffix = F.regexp_extract("path", _FIELD, 0)
     up = F.when(F.col("path").endswith(".kind"), 1).otherwise(F.size(F.split(suffix, r"\.")) - 1)
     said = F.when(F.col("value").rlike(r"[^\s\u00A0\u2000-\u200B\u3000]"), F.col("value"))
@@ -75,7 +84,7 @@ def item_states(records: DataFrame, record_id: str, raw: str, outside: str = "di
     Read from the nodes of any layout; records without items or discards, and
     unreadable ones, yield no row; repeated records count once.
     """
-    nodes = dewey_nodes(records, record_id, raw, keep=rf"\.disposition$|\.d16_categor(y|ies){_LIST}$|\.{outside}\.\[\]$")
+    nodes = dewey_nodes(once(records, record_id, raw), "record_id", "raw", keep=rf"\.disposition$|\.d16_categor(y|ies){_LIST}$|\.{outside}\.\[\]$")
     away = F.col("path").rlike(rf"\.{outside}(\.|$)")
     flat = nodes.select("record_id", "dewey", away.alias("away"), F.col("path").rlike(r"\.\[\]$").alias("listed"), F.col("path").contains(".d16_").alias("category"), "kind", "value").distinct()
     state = F.when(~F.col("away") & ~F.col("category"), F.col("value"))

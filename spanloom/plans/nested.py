@@ -7,25 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators.dewey import dewey_nodes
-from spanloom.operators.extraction import item_children
+from spanloom.operators.dewey import dewey_nodes, once
+from spanloom.operators.extraction import item_children, item_table
 from spanloom.operators.intervals import merge_intervals
 from spanloom.session import table
 
 
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extractions", "extraction_id", "raw_json")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Mentions, ingredients and brands of every medication of every envelope."""
-    rows = item_children(table(spark, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json")
+    rows = item_children(_envelopes(spark, d), "extraction_id", "raw_json")
     return rows.select(F.col("record_id").alias("extraction_id"), F.col("med_ord").cast("int").alias("med_ord"), "child_kind", F.col("child_ord").cast("int").alias("child_ord"), "child_text")
 
 
 def p1_path_tables(spark: SparkSession, d: str) -> DataFrame:
     """How many nodes each schema path's table holds, and of how many records."""
-    nodes = dewey_nodes(table(spark, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json").select("record_id", "dewey", "path").distinct()
-    per_record = nodes.groupBy("path", "record_id").agg(F.count("*").alias("n"))
+    whole = once(_envelopes(spark, d), "extraction_id", "raw_json")
+    per_record = dewey_nodes(whole, "record_id", "raw").groupBy("path", "record_id").agg(F.count("*").alias("n"))
     return per_record.groupBy("path").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_records"))
 
 
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    """The item table: one row per medication, keyed by envelope and Dewey label."""
+    return item_table(_envelopes(spark, d), "extraction_id", "raw_json").withColumnRenamed("record_id", "extraction_id")
+
+
+def _child_table(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = item_children(_envelopes(spark, d), "extraction_id", "raw_json").where(F.col("child_kind") == kind)
+        return rows.select(F.col("record_id").alias("extraction_id"), "node", F.col("item").alias("parent"), F.col("child_ord").alias("ord"), F.col("child_text").alias("text"))
+
+    run.__doc__ = f"The {kind} table: one row per {kind}; ``parent`` is the label of its item in the item table."
+    return run
+
+
+p1_mentions, p1_ingredients, p1_brands = map(_child_table, ("mention", "ingredient", "brand"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Continuous speech and the gaps in it, from the spans of turns and words."""
     ms = lambda c: F.when(F.abs(F.col(c)) < 1e12, F.round(F.col(c) * 1000)).cast("bigint")
@@ -34,7 +55,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return merged.select(F.col("entity").alias("session_id"), "kind", F.col("lo").alias("start_ms"), F.col("hi").alias("end_ms"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_path_tables": p1_path_tables, "p3_found": p3_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_path_tables": p1_path_tables, "p1_items": p1_items, "p1_mentions": p1_mentions, "p1_ingredients": p1_ingredients, "p1_brands": p1_brands, "p3_found": p3_found}
 
 ORACLES: dict[str, str] = {
     "p3_found": """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import dates, dosing, names, similarity
 from spanloom.operators import mentions, resolve, search, spans, visits, vocabulary, voices
-from spanloom.operators.dewey import ancestor, dewey_nodes
+from spanloom.operators.dewey import ancestor, dewey_nodes, once
 from spanloom.operators.extraction import item_mentions, item_states
 from spanloom.session import shuffle_partitions, table
 from spanloom.sources import transcripts
@@ -553,7 +553,8 @@ def date_relative(s, d):
 @query()
 def quote_discovery(s, d):
     """P-16: objects with a text and an offset at any depth of an envelope, by shape."""
-    nodes = dewey_nodes(table(s, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json", keep=r"\.(text|char_offset)$")
+    whole = once(table(s, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json")
+    nodes = dewey_nodes(whole, "record_id", "raw", keep=r"\.(text|char_offset)$")
     field = F.regexp_extract("path", r"([a-z_]+)$", 1)
     rows = nodes.select("record_id", ancestor(F.col("dewey"), 1).alias("node"), field.alias("field"), "value", "path").distinct()
     return rows.groupBy("record_id", "node").agg(F.max(F.when(F.col("field") == "text", F.col("value"))).alias("text"), F.max(F.when(F.col("field") == "char_offset", F.col("value"))).cast("double").cast("int").alias("char_offset")).where("text is not null and char_offset is not null")
