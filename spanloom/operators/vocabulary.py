@@ -47,14 +47,19 @@ def salt_pairs(names: DataFrame, products: DataFrame) -> DataFrame:
     return one.join(many, "in_rxcui")
 
 
+def brand_pairs(products: DataFrame) -> DataFrame:
+    """J-15/A-05: distinct (brand_key, ingredient_key) of branded products, with the first brand name by code and the number of products."""
+    pairs = products.select("rxcui", bracket_brand(F.col("str")).alias("brand_name"), ingredient_head(F.col("str")).alias("ingredient_name")).where("brand_name is not null and ingredient_name <> ''")
+    keyed = pairs.withColumn("brand_key", F.lower("brand_name")).withColumn("ingredient_key", F.lower("ingredient_name"))
+    return keyed.groupBy("brand_key", "ingredient_key").agg(F.min_by("brand_name", F.struct("rxcui", "brand_name")).alias("brand_name"), F.count("*").alias("n"))
+
+
 def brand_ingredients(products: DataFrame, top: int = 12, per: str = "ingredient_key") -> DataFrame:
     """J-15/A-05/T-03/T-04: brand and ingredient pairs of branded products, ranked per ingredient (or per brand).
 
     Display names are those of the first product (by rxcui); ties go by name.
     """
-    pairs = products.select("rxcui", bracket_brand(F.col("str")).alias("brand_name"), ingredient_head(F.col("str")).alias("ingredient_name")).where("brand_name is not null and ingredient_name <> ''")
-    keyed = pairs.withColumn("brand_key", F.lower("brand_name")).withColumn("ingredient_key", F.lower("ingredient_name"))
-    counted = keyed.groupBy("brand_key", "ingredient_key").agg(F.min_by("brand_name", F.struct("rxcui", "brand_name")).alias("brand_name"), F.count("*").alias("n"))
+    counted = brand_pairs(products)
     order = Window.partitionBy(per).orderBy(F.desc("n"), "brand_key", "ingredient_key")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
