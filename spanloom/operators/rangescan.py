@@ -18,6 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanloom.session import checkpointed, shuffle_partitions
 
@@ -113,3 +114,66 @@ def annotate(df: DataFrame, entity: str, order: list[str], sums: list[str] = (),
     columns = [*types, *((F.col(f"before_{c}") + F.coalesce(f"c_{c}", F.lit(0.0))).alias(f"before_{c}") for c in sums)]
     columns += [F.when(F.col("_opens"), F.col(f"c_{c}_l")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in lags]
     return out.select(*columns, (F.col("_opens") & F.col("_p").isNull()).alias("is_first"))
+
+
+def _island_scan(entity: str, order: str, label: str, size: str, label_type: pa.DataType):
+    """Stretches of rows of one entity and label within a partition; ``pos`` 1 marks its first, 2 its last, 3 both."""
+
+    def scan(pid: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_row, first = None, True  # entity, label, first, last, n, total
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            types = [pa.string(), label_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[entity, "label", "first", "last", "n", "total", "pid", "pos"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(entity).dictionary_encode()
+            code, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            labels = batch.column(label).dictionary_encode()
+            value, values = labels.indices.fill_null(-1).to_numpy(zero_copy_only=False), [*labels.dictionary.to_pylist(), None]
+            new = np.concatenate(([True], (np.diff(code) != 0) | (np.diff(value) != 0)))
+            starts = np.flatnonzero(new)
+            stops = np.concatenate((starts[1:], [len(code)]))
+            at = batch.column(order).to_numpy(zero_copy_only=False)
+            totals = np.add.reduceat(batch.column(size).to_numpy(zero_copy_only=False).astype(float), starts)
+            rows = []
+            for a, b, total in zip(starts.tolist(), stops.tolist(), totals.tolist()):
+                row = [names[code[a]], values[value[a]], int(at[a]), int(at[b - 1]), b - a, total]
+                if open_row is not None and open_row[:2] == row[:2]:
+                    open_row[3], open_row[4], open_row[5] = row[3], open_row[4] + row[4], open_row[5] + total
+                    continue
+                if open_row is not None:
+                    rows.append((*open_row, pid, int(first)))
+                    first = False
+                open_row = row
+            if rows:
+                yield out(rows)
+        if open_row is not None:
+            yield out([(*open_row, pid, 3 if first else 2)])
+
+    return scan
+
+
+def islands(df: DataFrame, entity: str, order: str, label: str, size: str, partitions: int | None = None) -> DataFrame:
+    """Stretches of successive rows of one label, per entity of any size, in one scan.
+
+    ``entity`` is a string, ``order`` a bigint, ``size`` a double, ``label`` of any plain type.
+    Returns (entity, label, first, last, n, total): the order of the first and
+    last row, their number and the sum of their sizes.  A null label is a label of
+    its own; rows with a null entity or order are dropped, a null size counts 0.
+    """
+    rows = df.where(F.col(entity).isNotNull() & F.col(order).isNotNull()).fillna(0.0, [size]).select(entity, order, label, size)
+    kind = dict(rows.dtypes)[label]
+    label_type = to_arrow_type(rows.schema[label].dataType)
+    schema = f"`{entity}` string, label {kind}, first bigint, last bigint, n bigint, total double, pid int, pos int"
+    found = checkpointed(range_scan(rows, [entity, order], _island_scan(entity, order, label, size, label_type), schema, partitions))
+    # at most two rows per partition may go on across a border
+    window = Window.orderBy("pid", "pos")
+    before = lambda c: F.lag(c).over(window)
+    goes_on = (before("pid") != F.col("pid")) & (before(entity) == F.col(entity)) & before("label").eqNullSafe(F.col("label"))
+    chains = found.where("pos > 0").withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = chains.groupBy("chain").agg(F.first(entity).alias(entity), F.max("label").alias("label"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    columns = [entity, "label", "first", "last", "n", "total"]
+    return found.where("pos = 0").select(*columns).unionByName(joined.select(*columns))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.skew import salts_for
 
 def _positions(text: str, quote: str) -> list[tuple[int, int]]:
     """All occurrences, overlapping ones too."""
@@ -37,24 +38,27 @@ def find_spans(quotes: DataFrame, texts: DataFrame, quote_id: str, key: str, quo
     q = quotes.select(F.col(quote_id).alias("quote_id"), F.col(key).alias("key"), F.col(quote).cast("string").alias("quote"))
     t = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     blank = F.col("quote").isNull() | ~F.col("quote").rlike(r"[^\s\p{Z}]")
-    met = q.where(~blank).join(t, "key", "left")
+    # quotes of a key travel together, in as many parts as tasks share them; the text goes along once a part
+    part = F.pmod(F.xxhash64("quote_id"), F.lit(salts_for(quotes)))
+    met = q.where(~blank).groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("quote_id", "quote")).alias("quotes")).join(t, "key", "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, nth, lo, hi, how = [], [], [], [], [], []
-            for i, k, s, whole in zip(*(batch.column(c).to_pylist() for c in ("quote_id", "key", "quote", "text"))):
-                hits, kind = _positions(whole or "", s), "exact"
-                if not hits:
-                    hits, kind = _loose(whole or "", s), "relaxed"
-                for n, (a, b) in enumerate(hits or [(None, None)]):
-                    ids.append(i), keys.append(k), nth.append(n), lo.append(a), hi.append(b), how.append(kind if hits else "missing")
-            kinds = [batch.schema.field("quote_id").type, batch.schema.field("key").type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, keys, nth, lo, hi, how), kinds)], names=["quote_id", "key", "occurrence", "char_offset", "char_end", "match"])
+            for k, quotes_, whole in zip(*(batch.column(c).to_pylist() for c in ("key", "quotes", "text"))):
+                ids, nth, lo, hi, how = [], [], [], [], []
+                for x in quotes_:
+                    hits, kind = _positions(whole or "", x["quote"]), "exact"
+                    if not hits:
+                        hits, kind = _loose(whole or "", x["quote"]), "relaxed"
+                    for n, (a, b) in enumerate(hits or [(None, None)]):
+                        ids.append(x["quote_id"]), nth.append(n), lo.append(a), hi.append(b), how.append(kind if hits else "missing")
+                kinds = [batch.schema.field("quotes").type.value_type.field("quote_id").type, batch.schema.field("key").type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, [k] * len(ids), nth, lo, hi, how), kinds)], names=["quote_id", "key", "occurrence", "char_offset", "char_end", "match"])
 
     columns = [F.col("quote_id"), F.col("key"), F.lit(0).alias("occurrence"), F.lit(None).cast("int").alias("char_offset"), F.lit(None).cast("int").alias("char_end"), F.lit("empty").alias("match")]
     empty = q.where(blank).select(*columns)
     schema = ", ".join(f"{n} {t}" for n, t in empty.dtypes)
-    return met.select("quote_id", "key", "quote", "text").mapInArrow(scan, schema).unionByName(empty)
+    return met.select("key", "quotes", "text").mapInArrow(scan, schema).unionByName(empty)
 
 
 def nearest_spans(spans: DataFrame, turns: DataFrame) -> DataFrame:

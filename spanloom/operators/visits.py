@@ -6,10 +6,15 @@ end-exclusive, in characters.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.rangescan import annotate
+from spanloom.operators.rangescan import annotate, islands
 
 # Spellings of the two roles.
 ROLES = {
@@ -62,15 +67,17 @@ def build_turns(words: DataFrame, label: Column) -> DataFrame:
     """W-01/W-02: contiguous words of one label form a turn, with character offsets.
 
     ``words`` has session_id, word_idx, text; words are joined by one blank,
-    turns by one blank.  A null label is a label of its own.
+    turns by one blank.  A null label is a label of its own.  One scan over the
+    words makes the turns; their numbers and offsets come from a scan over the
+    turns, which are far fewer.
     """
-    sized = words.select("session_id", "word_idx", "text", label.alias("label"), (F.length("text") + 1).cast("double").alias("size"))
-    placed = annotate(sized, "session_id", ["word_idx"], sums=["size"], lags=["label"])
-    marked = placed.withColumn("new", (F.col("is_first") | ~F.col("prev_label").eqNullSafe(F.col("label"))).cast("double")).drop("prev_label", "is_first")
-    numbered = annotate(marked, "session_id", ["word_idx"], sums=["new"]).withColumn("turn_no", (F.col("before_new") + F.col("new") - 1).cast("bigint"))
-    return numbered.groupBy("session_id", "turn_no").agg(
-        F.first("label").alias("label"), F.count("*").alias("n_words"), F.min("word_idx").alias("first_word_idx"), F.max("word_idx").alias("last_word_idx"),
-        F.min("before_size").cast("bigint").alias("char_start"), F.max(F.col("before_size") + F.length("text")).cast("bigint").alias("char_end"),
+    sized = words.select("session_id", F.col("word_idx").cast("bigint").alias("word_idx"), label.alias("label"), (F.length("text") + 1).cast("double").alias("size"))
+    turns = islands(sized, "session_id", "word_idx", "label", "size").withColumn("one", F.lit(1.0))
+    placed = annotate(turns, "session_id", ["first"], sums=["total", "one"])
+    start = F.col("before_total").cast("bigint")
+    return placed.select(
+        "session_id", F.col("before_one").cast("bigint").alias("turn_no"), "label", F.col("n").alias("n_words"), F.col("first").cast("int").alias("first_word_idx"), F.col("last").cast("int").alias("last_word_idx"),
+        start.alias("char_start"), (start + F.col("total").cast("bigint") - 1).alias("char_end"),
     )
 
 
@@ -155,29 +162,68 @@ def word_cue(quotes: DataFrame, words: DataFrame, lead_s: float = 0.35, tail_s:
 
 
 def violations(sessions: DataFrame, turns: DataFrame, words: DataFrame) -> DataFrame:
-    """F-12/F-13/P-26: how many rows break each rule of the data model (one row per broken rule)."""
-    text = sessions.select("session_id", "transcript_text")
-    sliced = lambda lo, n: F.substring("transcript_text", F.col(lo) + 1, n)
-    w = words.join(text, "session_id")
-    t = turns.join(text, "session_id")
-    spans = turns.select("session_id", "turn_id", F.col("start_s").alias("t_lo"), F.col("end_s").alias("t_hi"))
+    """F-12/F-13/P-26: how many rows break each rule of the data model (one row per broken rule).
+
+    A word that stands at its offset of the transcript as a blank-separated piece
+    is told by an equi-join with the pieces; only the few others are compared
+    with the transcript itself.  Turns of a session are compared with their
+    transcript once, together.  Every table is read in one pass that lists the
+    rules a row breaks.
+    """
     path = F.col("audio_path")
     outside = path.isNotNull() & (~path.startswith(F.concat("session_dir", F.lit("/"))) | path.contains("..") | (path.startswith("/") != F.col("session_dir").startswith("/")))
-    rules = [
-        (w.where(sliced("char_offset", F.length("text")) != F.col("text")), "word offset does not index the transcript"),
-        (t.where(sliced("char_start", F.col("char_end") - F.col("char_start")) != F.col("text")), "turn text is not its slice"),
-        (turns.where("char_end - char_start <> length(text)"), "turn length differs from its span"),
-        (words.join(spans, ["session_id", "turn_id"]).where("t_hi > t_lo and (start_s < t_lo or end_s > t_hi)"), "word outside its turn"),
-        (words.where("end_s < start_s or start_s < 0"), "word interval invalid"),
-        (words.where("end_s = start_s"), "word of no length"),
-        (words.where("probability is null or probability < 0 or probability > 1"), "word probability missing or out of range"),
-        (turns.where("start_s is null or end_s is null or end_s <= start_s"), "turn interval missing or invalid"),
-        (sessions.where("consent is null or consent.obtained is null or not consent.obtained"), "no consent"),
-        (sessions.where(path.isNull()), "no audio"),
-        (sessions.where(outside), "audio outside its session"),
-    ]
-    out = None
-    for broken, name in rules:
-        part = broken.select(F.lit(name).alias("rule"), "session_id")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("rule").agg(F.count("*").alias("n_rows"), F.count_distinct("session_id").alias("n_sessions"))
+    of_session = _broken(sessions, {"no consent": F.col("consent").isNull() | F.col("consent.obtained").isNull() | ~F.col("consent.obtained"), "no audio": path.isNull(), "audio outside its session": outside})
+    length = F.length("text")
+    of_turn = _broken(turns, {
+        "turn length differs from its span": F.col("char_end") - F.col("char_start") != length,
+        "turn interval missing or invalid": F.col("start_s").isNull() | F.col("end_s").isNull() | (F.col("end_s") <= F.col("start_s")),
+    })
+    spans = turns.where("end_s > start_s").select("session_id", "turn_id", F.col("start_s").alias("t_lo"), F.col("end_s").alias("t_hi"))
+    p = F.col("probability")
+    of_word = _broken(words.join(spans, ["session_id", "turn_id"], "left"), {
+        "word outside its turn": (F.col("start_s") < F.col("t_lo")) | (F.col("end_s") > F.col("t_hi")),
+        "word interval invalid": (F.col("end_s") < F.col("start_s")) | (F.col("start_s") < 0),
+        "word of no length": F.col("end_s") == F.col("start_s"),
+        "word probability missing or out of range": p.isNull() | (p < 0) | (p > 1),
+    })
+
+    text = sessions.select("session_id", "transcript_text").where("transcript_text is not null")
+    pieces = text.select("session_id", F.explode(_pieces("transcript_text")).alias("x")).select("session_id", "x.char_offset", "x.text")
+    odd = words.where("text is not null and char_offset is not null").join(pieces, ["session_id", "char_offset", "text"], "left_anti")
+    sliced = F.substring("transcript_text", F.col("char_offset") + 1, length)
+    misplaced = odd.join(text, "session_id").where(sliced != F.col("text")).select("session_id", F.lit("word offset does not index the transcript").alias("rule"))
+    listed = turns.groupBy("session_id").agg(F.collect_list(F.struct("char_start", "char_end", "text")).alias("turns"))  # no more text than the transcript's own
+    slices = listed.join(text, "session_id").mapInArrow(_unlike_slices, "session_id string, n bigint")
+    unlike = slices.select("session_id", F.lit("turn text is not its slice").alias("rule"), "n")
+
+    every = of_session.unionByName(of_turn).unionByName(of_word).unionByName(misplaced).withColumn("n", F.lit(1).cast("bigint")).unionByName(unlike)
+    return every.groupBy("rule").agg(F.sum("n").alias("n_rows"), F.count_distinct("session_id").alias("n_sessions"))
+
+
+def _broken(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(session_id, rule) for every rule a row breaks; an unknown answer breaks none."""
+    flags = F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
+    return rows.select("session_id", F.explode(flags).alias("rule"))
+
+
+def _pieces(text: str) -> Column:
+    """The blank-separated pieces of a text with their offsets."""
+    return F.pandas_udf(_offsets, "array<struct<char_offset:int,text:string>>")(text)
+
+
+def _offsets(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [{"char_offset": m.start(), "text": m[0]} for m in re.finditer(r"\S+", t)])
+
+
+def _unlike_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many turns of a session are not the slice of the transcript that they name."""
+    for batch in batches:
+        kept, counts = [], []
+        for k, (turns, whole) in enumerate(zip(batch.column("turns").to_pylist(), batch.column("transcript_text").to_pylist())):
+            n = 0
+            for t in turns:
+                lo, hi, said = t["char_start"], t["char_end"], t["text"]
+                n += None not in (lo, hi, said) and (whole[lo : max(lo, hi)] if lo >= 0 else "") != said
+            if n:
+                kept.append(k), counts.append(n)
+        yield pa.RecordBatch.from_arrays([batch.column("session_id").take(pa.array(kept, pa.int32())), pa.array(counts, pa.int64())], names=["session_id", "n"])
