@@ -10,9 +10,11 @@ it, and with how many edits.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,17 +56,32 @@ def plain_words(text: str) -> str:
     return _GAP.sub(" ", text.casefold()).strip()
 
 
-def myers_distance(pattern: str, text: str) -> int:
-    """Least edit distance of ``pattern`` to any substring of ``text``."""
-    m = len(pattern)
-    if not m:
-        return 0
+@functools.lru_cache(maxsize=4096)
+def _masks(pattern: str) -> dict[str, int]:
+    """Per character the places where the pattern has it, as bits."""
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
+    return peq
+
+
+def myers_distance(pattern: str, text: str, most: int | None = None) -> int:
+    """Least edit distance of ``pattern`` to any substring of ``text``; beyond ``most``, if given, any number above it.
+
+    The distance of a column can fall by one a column at most, so where the rest
+    of the text can't bring it down to ``most`` the scan stops.
+    """
+    m = len(pattern)
+    if not m:
+        return 0
+    peq = _masks(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = full, 0, m, m
+    left = len(text)
     for c in text:
+        if most is not None and best > most and score - left > most:
+            break
+        left -= 1
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -121,36 +138,47 @@ class LeakMatcher:
 
         Edits count characters; blanks are none, so a word may be broken anywhere.
         """
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, int] = {}
         if self.empty:
-            return found
+            return {}
         stream = spaced.replace(" ", "")
-        edges, seen, measured, runs = None, {}, set(), {}
+        edges, seen, runs = None, {}, {}
         for end, places in self.automaton.iter(stream):
             for n, p, q in places:
                 item = self.items[n]
                 offset = end + 1 - item.starts[q]  # of the item's start in the stream
-                if item.starts[q] > seen.get((n, offset), -1):  # not inside a stretch that was looked at
-                    if edges is None:
-                        edges = {0, *np.cumsum([len(x) for x in spaced.split(" ")]).tolist()}
-                    lo, hi = self._extend(item, stream, offset, item.starts[p], item.starts[q])
-                    seen[n, offset] = hi
-                    run = self._run(item, lo, hi, offset, edges)
-                    runs[n] = max(runs.get(n, 0), run[1] - run[0] if run else 0)
-                if found.get(n) == 0:
-                    continue
-                for first, last in zip(self.cuts, self.cuts[1:]):  # the passages of which this is a piece
-                    w = p - first
-                    if q - p != last - first or w < 0 or w + self.min_words > item.words() or (n, w, offset) in measured:
-                        continue
-                    measured.add((n, w, offset))
-                    lo, hi = item.starts[w], item.starts[w + self.min_words]
-                    at = max(0, offset + lo - self.budget)
-                    edits = myers_distance(item.stream[lo:hi], stream[at : max(at, offset + hi + self.budget)])
+                if item.starts[q] <= seen.get((n, offset), -1):
+                    continue  # inside a stretch that was looked at
+                if edges is None:
+                    edges = {0, *np.cumsum([len(x) for x in spaced.split(" ")]).tolist()}
+                lo, hi = self._extend(item, stream, offset, item.starts[p], item.starts[q])
+                seen[n, offset] = hi
+                run = self._run(item, lo, hi, offset, edges)
+                runs[n] = max(runs.get(n, 0), run[1] - run[0] if run else 0)
+                for w in self._passages_of(item, lo, hi) if found.get(n) != 0 else ():
+                    a, b = item.starts[w], item.starts[w + self.min_words]
+                    at = max(0, offset + a - self.budget)
+                    edits = myers_distance(item.stream[a:b], stream[at : max(at, offset + b + self.budget)], self.budget)
                     if edits <= min(self.budget, found.get(n, self.budget)):
                         found[n] = edits
         return {n: (edits, runs.get(n, 0)) for n, edits in found.items()}
 
+    def _passages_of(self, item: _Item, lo: int, hi: int) -> list[int]:
+        """First words of the passages that an unchanged stretch of the item may belong to.
+
+        Of the passages that begin in the stretch the first needs the fewest words
+        beyond it, of those that end in it the last; where one of the others is
+        within the budget that one is too, by the same alignment.
+        """
+        p, q = bisect_left(item.starts, lo), bisect_right(item.starts, hi) - 1
+        last = item.words() - self.min_words
+        near: set[int] = set()
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            near.update(range(max(0, p - a), min(last, q - b) + 1))
+        inside = [w for w in near if q - self.min_words < w < p]
+        begin, close = [w for w in near if w >= p], [w for w in near if w <= q - self.min_words]
+        return sorted({*inside, *([min(begin)] if begin else ()), *([max(close)] if close else ())})
+
     @staticmethod
     def _extend(item: _Item, stream: str, offset: int, lo: int, hi: int) -> tuple[int, int]:
         """The longest stretch around [lo, hi) of the item that the stream repeats."""
@@ -164,8 +192,6 @@ class LeakMatcher:
     @staticmethod
     def _run(item: _Item, lo: int, hi: int, offset: int, edges: set[int]) -> tuple[int, int] | None:
         """First and last+1 whole word of the item in [lo, hi), whole in the document too."""
-        from bisect import bisect_left, bisect_right
-
         first, last = bisect_left(item.starts, lo), bisect_right(item.starts, hi) - 1
         while first < last and item.starts[first] + offset not in edges:
             first += 1
