@@ -122,3 +122,9 @@ def merge_restatements(rows: DataFrame, group: str, order: str, text: str, least
         "else concat(acc, array(named_struct('o', x.o, 't', x.t, 'w', x.w, 'n', 1))) end)"
     )
     return listed.select(group, F.explode(F.expr(fold)).alias("r")).select(group, F.col("r.o").alias(order), F.col("r.t").alias(text), F.col("r.n").alias("n_merged"))
+
+
+def only_spans(spans: DataFrame) -> DataFrame:
+    """P-27: the place of quotes that occur exactly once, word for word."""
+    exact = spans.where("match = 'exact'").groupBy("quote_id").agg(F.count("*").alias("n"), F.min("char_offset").alias("char_offset"), F.min("char_end").alias("char_end"))
+    return exact.where("n = 1").drop("n")

@@ -227,3 +227,46 @@ def _unlike_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if n:
                 kept.append(k), counts.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("session_id").take(pa.array(kept, pa.int32())), pa.array(counts, pa.int64())], names=["session_id", "n"])
+
+
+def suspect_segment(compression_ratio: Column, no_speech: Column) -> Column:
+    """F-07: a segment that repeats itself or is likely no speech; unknown figures suspect nothing."""
+    return F.coalesce(compression_ratio > 2.4, F.lit(False)) | F.coalesce(no_speech > 0.6, F.lit(False))
+
+
+def session_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """A-18: two versions of sessions, turn by turn.
+
+    Both have session_id, turn_id, text.  Returns per session the turns of each
+    version, how many have the same text, the first that differs or is missing,
+    and the share of words that both versions of a turn have at the same place.
+    Turns meet on (session_id, turn_id); null texts count as empty.
+    """
+    side = lambda df, c: df.select("session_id", "turn_id", F.coalesce("text", F.lit("")).alias(c))
+    met = side(left, "a").join(side(right, "b"), ["session_id", "turn_id"], "full")
+    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    both = F.zip_with(words("a"), words("b"), lambda x, y: x.eqNullSafe(y))
+    same = F.col("a").eqNullSafe(F.col("b"))
+    counted = met.select(
+        "session_id", "turn_id", "a", "b", same.alias("same"), F.coalesce(F.size(F.filter(both, lambda x: x)), F.lit(0)).alias("agree"),
+        F.greatest(F.coalesce(F.size(words("a")), F.lit(0)), F.coalesce(F.size(words("b")), F.lit(0))).alias("n_words"),
+    )
+    return counted.groupBy("session_id").agg(
+        F.count("a").alias("n_left"), F.count("b").alias("n_right"), F.count_if("same").alias("n_same"), F.min(F.when(~F.col("same"), F.col("turn_id"))).alias("first_unlike"),
+        F.round(F.when(F.sum("n_words") > 0, F.sum("agree") / F.sum("n_words")).otherwise(1.0), 6).alias("word_agreement"),
+    )
+
+
+def illegal_steps(events: DataFrame, group: str, order: str, stage: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Z-02: steps from one stage to the next that a stage machine does not allow, per group of any size.
+
+    ``allowed`` maps a stage to the stages that may follow; the first stage of a
+    group must follow ``""``.  Null stages are disregarded.
+    """
+    rows = events.where(F.col(stage).isNotNull()).select(group, order, stage)
+    placed = annotate(rows, group, [order], lags=[stage])
+    before = F.when(F.col("is_first"), "").otherwise(F.col(f"prev_{stage}"))
+    legal = F.lit(False)
+    for a, following in allowed.items():
+        legal = legal | ((before == a) & F.col(stage).isin(*following))
+    return placed.where(~legal).select(group, order, before.alias("from_stage"), F.col(stage).alias("to_stage"))

@@ -19,11 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def with_latest(sql: str) -> str:
+    """``sql``, led by the latest deliveries if it goes on with a comma."""
+    return _COMMON + sql if sql.lstrip().startswith(",") else sql
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = _COMMON + sql if sql.lstrip().startswith(",") else sql
+            ORACLES[f.__name__] = with_latest(sql)
         return f
 
     return register
@@ -49,6 +54,9 @@ def _words(s, d):
     return visits.latest(table(s, d, "words"), ["session_id", "word_idx"], "received_at")
 
 
+latest_sessions, latest_turns, latest_words = _sessions, _turns, _words
+
+
 def _speaker(c: str):
     return F.expr(f"try_cast(regexp_extract({c}, '([0-9]{{1,6}})[^0-9]*$', 1) as int)")
 

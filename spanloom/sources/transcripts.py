@@ -63,3 +63,30 @@ def document_reference(rows: DataFrame, key: str, html: str) -> DataFrame:
 def write_envelopes(rows: DataFrame, path: str) -> None:
     """S-16: one JSON object per line."""
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def session_documents(sessions: DataFrame, turns: DataFrame, words: DataFrame) -> DataFrame:
+    """S-09/S-16: ``(session_id, document)``: sessions with their turns and words as one JSON object each, as ``parse_sessions`` reads it."""
+    word = F.struct("word_idx", F.struct("text", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "probability", "speaker_cluster", "char_offset").alias("w"))
+    listed = words.groupBy("session_id", "turn_id").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words"))
+    turn = F.struct(F.col("turn_id").alias("id"), "speaker_cluster", "role", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", "char_start", "char_end", "words")
+    whole = turns.join(listed, ["session_id", "turn_id"], "left").groupBy("session_id").agg(F.array_sort(F.collect_list(turn), lambda a, b: a["id"] - b["id"]).alias("turns"))
+    fields = ["session_id", "visit_date", "session_dir", "audio_path", "transcript_text", "turns", "consent"]
+    return sessions.join(whole, "session_id", "left").select("session_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def parse_sessions(documents: DataFrame, column: str = "document") -> DataFrame:
+    """S-09: session documents as columns of the declared schema; a malformed one fails."""
+    return documents.select(F.from_json(column, SESSION, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """S-15: each table as Parquet below ``folder``, made anew."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def append_log(rows: DataFrame, path: str, never: tuple[str, ...] = ("text", "quote")) -> None:
+    """S-18: rows appended as tab-separated lines, without the columns that hold what was said."""
+    kept = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c not in never]
+    rows.select(F.concat_ws("\t", *(F.regexp_replace(c, r"[\t\r\n]+", " ") for c in kept)).alias("value")).write.mode("append").text(path)

@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 LABEL_FIELDS = ("indications_and_usage", "dosage_and_administration", "warnings", "contraindications", "drug_interactions")
 
 
-def read_rrf(spark: SparkSession, path: str) -> DataFrame:
-    """S-01: ``fields`` arrays of a pipe-delimited file; the one empty field after a closing pipe is dropped, nothing is quoted."""
-    fields = F.split("value", r"\|", -1)
+def split_fields(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``fields`` arrays of pipe-delimited lines; the one empty field after a closing pipe is dropped, nothing is quoted."""
+    fields = F.split(column, r"\|", -1)
     closed = F.element_at(fields, -1) == ""
-    return spark.read.text(path).select(F.when(closed, F.slice(fields, 1, F.size(fields) - 1)).otherwise(fields).alias("fields"))
+    return lines.select(F.when(closed, F.slice(fields, 1, F.size(fields) - 1)).otherwise(fields).alias("fields"))
+
+
+def read_rrf(spark: SparkSession, path: str) -> DataFrame:
+    """S-01: the fields of a pipe-delimited file."""
+    return split_fields(spark.read.text(path))
 
 
 def concepts(rows: DataFrame) -> DataFrame:
@@ -46,7 +51,12 @@ def release_of(files: DataFrame, column: str = "path") -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """S-06: one row per record of ``results`` in all JSON members of the zip files; unreadable members are skipped."""
+    """S-06: one row per record of ``results`` in all JSON members of the zip files.
+
+    Members that are no JSON object with ``results`` give one row with a null
+    record, so a broken release shows; ``labels`` skips it.  A zip is one value: its
+    members are read one after the other, its records leave in batches.
+    """
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,9 +66,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
                         try:
                             results = json.loads(z.read(member)).get("results") or []
                         except (ValueError, AttributeError):
-                            continue
+                            results = [None]
                         for at in range(0, len(results), 500):
-                            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(r) for r in results[at : at + 500]], pa.string())], names=["record"])
+                            yield pa.RecordBatch.from_arrays([pa.array([r if r is None else json.dumps(r) for r in results[at : at + 500]], pa.string())], names=["record"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unzip, "record string")
 
