@@ -48,16 +48,25 @@ def assign_intervals(points: DataFrame, intervals: DataFrame, point_keys: list[s
     then to the smallest id; zero overlap (also zero-length words) is no match;
     null or infinite times match nothing.  Both sides are cut into time buckets, so a long
     session's words and intervals meet bucket by bucket rather than all with all.
+    A span of any length fills two buckets at most: buckets double in size from
+    level to level, a span is at home on the level that fits it, and two spans
+    meet where the longer one is at home.
     """
     timed = "start_s is not null and end_s > start_s and abs(start_s) < 1e12 and abs(end_s) < 1e12"
     w = points.where(timed).select("session_id", *point_keys, F.col("start_s").alias("w_lo"), F.col("end_s").alias("w_hi"))
     i = intervals.where(timed).select("session_id", "interval_id", F.col("start_s").alias("i_lo"), F.col("end_s").alias("i_hi"))
-    cut = lambda df, lo, hi: df.withColumn("b", F.explode(F.sequence(F.floor(F.col(lo) / bucket_s), F.greatest(F.floor(F.col(lo) / bucket_s), F.ceil(F.col(hi) / bucket_s) - 1))))
-    # spans of absurd length would fill too many buckets; those few meet their session's rows directly
-    longest = 64 * bucket_s
-    short_w, long_w, short_i, long_i = (df.where(f"{hi} - {lo} {op} {longest}") for df, lo, hi in ((w, "w_lo", "w_hi"), (i, "i_lo", "i_hi")) for op in ("<=", ">"))
-    near = cut(short_w, "w_lo", "w_hi").join(cut(short_i, "i_lo", "i_hi"), ["session_id", "b"]).drop("b")
-    met = near.unionByName(w.join(long_i, "session_id")).unionByName(long_w.join(short_i, "session_id")).where("w_lo < i_hi and w_hi > i_lo")
+    level = lambda lo, hi: F.greatest(F.lit(0), F.ceil(F.log2((F.col(hi) - F.col(lo)) / bucket_s))).cast("int")
+    w, i = w.withColumn("home", level("w_lo", "w_hi")), i.withColumn("home", level("i_lo", "i_hi"))
+    # at most about forty levels lie between the shortest and the longest span of times below 1e12
+    levels = F.array(*(F.lit(r.home) for r in w.select("home").union(i.select("home")).distinct().collect())).cast("array<int>")
+
+    def cut(df: DataFrame, lo: str, hi: str, own: str) -> DataFrame:
+        on = df.withColumn("level", F.explode(F.filter(levels, lambda k: k >= F.col("home"))))
+        first = F.floor(F.col(lo) / (bucket_s * F.pow(F.lit(2.0), "level")))
+        last = F.greatest(first, F.ceil(F.col(hi) / (bucket_s * F.pow(F.lit(2.0), "level"))) - 1)
+        return on.withColumn(own, F.col("level") == F.col("home")).withColumn("b", F.explode(F.sequence(first, last))).drop("home")
+
+    met = cut(w, "w_lo", "w_hi", "w_own").join(cut(i, "i_lo", "i_hi", "i_own"), ["session_id", "level", "b"]).where("(w_own or i_own) and w_lo < i_hi and w_hi > i_lo")
     overlap = F.least("w_hi", "i_hi") - F.greatest("w_lo", "i_lo")
     best = met.groupBy("session_id", *point_keys).agg(F.max_by(F.struct("interval_id", overlap.alias("overlap")), F.struct(F.round(overlap, 6), F.negative("i_lo"), F.negative("interval_id"))).alias("hit"))
     return points.select("session_id", *point_keys).distinct().join(best, ["session_id", *point_keys], "left").select("session_id", *point_keys, "hit.interval_id", F.round("hit.overlap", 3).alias("overlap_s"))

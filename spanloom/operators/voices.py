@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DISTANCE, LEAST_MARGIN, OUTLIER, TOO_CLOSE = 0.65, 0.10, 0.45, 0.45
-MAX_CLUSTERS = 200
+#: Centroids ride along with the probes in blocks of this many.
+BLOCK_CLUSTERS = 200
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -22,49 +23,50 @@ def centroids(vectors: DataFrame, cluster: str, vector: str) -> DataFrame:
     return flat.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("centroid"))
 
 
-def _table(clusters: DataFrame) -> list[tuple]:
-    """The centroids, bounded by the clusters a recording (or a label set) can have."""
-    rows = clusters.where("centroid is not null").orderBy("cluster").limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    return [(r["cluster"], list(r["centroid"])) for r in rows]
+def _against_blocks(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``rows`` with ``held``, an array of about ``BLOCK_CLUSTERS`` centroids: once per block of the centroids.
 
-
-def _literal(table: list[tuple]) -> Column:
-    return F.array(*(F.struct(F.lit(c).alias("cluster"), F.array(*map(F.lit, v)).alias("v")) for c, v in table))
+    The centroids are the query set; every block is sent by itself, so what is
+    sent is bounded however many there are.
+    """
+    known = clusters.where("centroid is not null")
+    n = max(1, -(-known.count() // BLOCK_CLUSTERS))
+    held = known.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("cluster", F.col("centroid").alias("v"))).alias("held"))
+    out = None
+    for k in range(n):
+        met = rows.crossJoin(F.broadcast(held.where(F.col("block") == k).select("held")))  # one row
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def nearest_cluster(probes: DataFrame, probe_id: str, vector: str, clusters: DataFrame) -> DataFrame:
     """A-09/J-21: nearest centroid, runner-up and margin for each probe; abstains if too far or too close to call.
 
-    The centroids, one per cluster, ride along as one array per probe: the probes
-    are not multiplied by the clusters.
+    Centroids pass in blocks, each block as one array against all probes; of each
+    block the two nearest remain, of all blocks then the two nearest.  Probes
+    without centroids, or of another length, have no cluster.  Ties go to the
+    smaller cluster.
     """
-    table = _table(clusters)
-    if not table:
-        none = F.lit(None)
-        return probes.select(F.col(probe_id).alias("probe_id"), none.cast("int").alias("cluster"), none.cast("double").alias("distance"), none.cast("double").alias("margin"), F.lit(False).alias("decided"))
-    held = _literal(table)
-    ranked = F.array_sort(F.transform(held, lambda c: F.struct(cosine_distance(F.col(vector), c["v"]).alias("d"), c["cluster"].alias("cluster"))))
-    scored = probes.select(F.col(probe_id).alias("probe_id"), ranked.alias("r"))
-    margin = F.coalesce(F.try_element_at("r", F.lit(2))["d"] - F.col("r")[0]["d"], F.lit(float("inf")))
-    ok = (F.col("r")[0]["d"] <= MAX_DISTANCE) & (margin >= LEAST_MARGIN)
-    return scored.select("probe_id", F.col("r")[0]["cluster"].alias("cluster"), F.round(F.col("r")[0]["d"], 6).alias("distance"), F.round(margin, 6).alias("margin"), ok.alias("decided"))
+    two = F.slice(F.array_sort(F.filter(F.transform("held", lambda c: F.struct(cosine_distance(F.col("_v"), c["v"]).alias("d"), c["cluster"].alias("cluster"))), lambda x: x["d"].isNotNull())), 1, 2)
+    asked = probes.select(F.col(probe_id).alias("probe_id"), F.col(vector).alias("_v"))
+    met = _against_blocks(asked, clusters).select("probe_id", two.alias("two"))
+    ranked = met.groupBy("probe_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("two"))), 1, 2).alias("r"))
+    scored = asked.select("probe_id").distinct().join(ranked, "probe_id", "left").withColumn("a", F.try_element_at("r", F.lit(1))).withColumn("b", F.try_element_at("r", F.lit(2)))
+    margin = F.when(F.col("a").isNotNull(), F.coalesce(F.col("b.d") - F.col("a.d"), F.lit(float("inf"))))
+    ok = F.coalesce((F.col("a.d") <= MAX_DISTANCE) & (margin >= LEAST_MARGIN), F.lit(False))
+    return scored.select("probe_id", "a.cluster", F.round("a.d", 6).alias("distance"), F.round(margin, 6).alias("margin"), ok.alias("decided"))
 
 
 def worst_outliers(vectors: DataFrame, vec_id: str, cluster: str, vector: str) -> DataFrame:
     """A-10: the member farthest from its own centroid, of clusters with two members or more."""
     c = centroids(vectors, cluster, vector)
-    d = vectors.select(F.col(vec_id).alias("vec_id"), F.col(cluster).alias("cluster"), F.col(vector).alias("v")).join(F.broadcast(c), "cluster").withColumn("distance", F.round(cosine_distance(F.col("v"), F.col("centroid")), 6))  # one row per cluster
+    d = vectors.select(F.col(vec_id).alias("vec_id"), F.col(cluster).alias("cluster"), F.col(vector).alias("v")).join(c, "cluster").withColumn("distance", F.round(cosine_distance(F.col("v"), F.col("centroid")), 6))
     worst = d.groupBy("cluster").agg(F.max(F.struct("distance", "vec_id")).alias("w"), F.count("*").alias("n")).where("n >= 2")
     return worst.select("cluster", "n", F.col("w.vec_id").alias("vec_id"), F.col("w.distance").alias("distance"), (F.col("w.distance") > OUTLIER).alias("flagged"))
 
 
 def close_clusters(clusters: DataFrame, below: float = TOO_CLOSE) -> DataFrame:
-    """J-22: pairs of centroids nearer than ``below``, each pair once."""
-    table = _table(clusters)
-    if not table:
-        return clusters.select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.lit(0.0).alias("distance")).where("false")
-    far = F.transform(_literal(table), lambda c: F.struct(c["cluster"].alias("b"), F.round(cosine_distance(F.col("centroid"), c["v"]), 6).alias("distance")))
-    near = clusters.select(F.col("cluster").alias("a"), F.explode(far).alias("p")).where((F.col("p.b") > F.col("a")) & (F.col("p.distance") < below))
-    return near.select("a", "p.b", "p.distance")
+    """J-22: pairs of centroids nearer than ``below``, each pair once; centroids meet in blocks, as in ``nearest_cluster``."""
+    far = F.transform("held", lambda c: F.struct(c["cluster"].alias("b"), F.round(cosine_distance(F.col("centroid"), c["v"]), 6).alias("distance")))
+    near = _against_blocks(clusters.select(F.col("cluster").alias("a"), "centroid"), clusters).select("a", F.explode(far).alias("p"))
+    return near.where((F.col("p.b") > F.col("a")) & (F.col("p.distance") < below)).select("a", "p.b", "p.distance")

@@ -257,13 +257,13 @@ def name_candidates(s, d):
 
 @query(
     """
-    WITH p AS (SELECT rxcui, min(lower(trim(ingredient_key))) AS ing FROM product GROUP BY 1),
+    WITH p AS (SELECT rxcui, min(trim(regexp_replace(lower(ingredient_key), '[^a-z0-9/ -]', '', 'g'))) AS ing FROM product GROUP BY 1),
     o AS (SELECT ing, rxcui, CAST(row_number() OVER (PARTITION BY ing ORDER BY rxcui) - 1 AS INTEGER) AS pos FROM p WHERE ing <> '')
     SELECT ing AS mention_id, pos, 'spl-' || rxcui AS spl_set_id, rxcui AS label FROM o WHERE pos < 50"""
 )
 def label_links(s, d):
     """J-16, J-17, U-07, T-10: labels of each ingredient by set id, in a stated order, the first fifty."""
-    p = table(s, d, "product", "rxcui", "ingredient_key").groupBy("rxcui").agg(F.min(F.lower(F.trim("ingredient_key"))).alias("ing")).where("ing <> ''")
+    p = table(s, d, "product", "rxcui", "ingredient_key").groupBy("rxcui").agg(F.min(F.trim(F.regexp_replace(F.lower("ingredient_key"), "[^a-z0-9/ -]", ""))).alias("ing")).where("ing <> ''")
     spl = F.concat(F.lit("spl-"), "rxcui")
     resolutions = p.groupBy(F.col("ing").alias("mention_id")).agg(F.sort_array(F.collect_set(spl)).alias("product_ids")).withColumn("own_ids", F.slice("product_ids", 1, 1))
     return search.labels_of(resolutions, p.select(spl.alias("spl_set_id"), F.col("rxcui").alias("label"))).select("mention_id", "pos", "spl_set_id", "label")
