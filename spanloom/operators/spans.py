@@ -95,13 +95,14 @@ def drop_overlaps(spans: DataFrame, group: str, order: str, start: str, end: str
     return ordered.select(group, F.explode(kept).alias("s")).select(group, F.col("s.o").alias(order), F.col("s.lo").alias(start), F.col("s.hi").alias(end))
 
 
-_STOP = "the and for you your that this with are was have has had not but can will would should they them then than from into out our any all who what when where how why its it's".split()
+#: Words without content of their own.
+STOP = "the and for you your that this with are was have has had not but can will would should they them then than from into out our any all who what when where how why its it's".split()
 
 
 def content_words(text):
     """X-14: distinct stems of words of three letters or more that carry content."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{3,})"), 1)
-    plain = F.filter(words, lambda w: ~w.isin(_STOP))
+    plain = F.filter(words, lambda w: ~w.isin(STOP))
     stem = lambda w: F.when(F.length(w) > 6, F.regexp_replace(w, "ness$", "")).otherwise(w)
     cut = lambda w: F.regexp_replace(stem(w), "(?<=[a-z]{3})(ing|ed|es|s)$", "")
     return F.array_distinct(F.transform(plain, cut))

@@ -11,6 +11,7 @@ from spanloom.functions import dates, dosing, names, similarity
 from spanloom.operators import mentions, resolve, search, spans, visits, vocabulary, voices
 from spanloom.operators.dewey import ancestor, dewey_nodes, once
 from spanloom.operators.extraction import item_mentions, item_states
+from spanloom.operators.rangescan import annotate
 from spanloom.session import shuffle_partitions, table
 from spanloom.sources import transcripts
 from spanloom.streaming import retention
@@ -215,7 +216,13 @@ def session_deliveries(s, d):
     return table(s, d, "sessions").groupBy("session_id").agg(F.count("*").alias("n_deliveries"), F.count_distinct(F.md5(F.coalesce("transcript_text", F.lit("")))).alias("n_texts"), (F.max(at) - F.min(at)).alias("spread_s")).where("n_deliveries > 1")
 
 
-@query()
+@query(
+    r""",
+    x AS (SELECT session_id, turn_id, CASE WHEN lower(trim(role)) IN ('clinician', 'doctor', 'dr', 'physician') THEN 'clinician' ELSE 'other' END AS role,
+                 replace(replace(translate(regexp_replace(text, '[\r\n]+', ' ', 'g'), '‘’“”–—', '''''""--'), '…', '...'), chr(160), ' ') AS plain FROM t WHERE text IS NOT NULL AND trim(text) <> ''),
+    y AS (SELECT session_id, turn_id, role, trim(regexp_replace(regexp_replace(plain, '\*\([^)]*\)\*', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM x)
+    SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn_id) - 1 AS INTEGER) AS turn_id, role, text FROM y"""
+)
 def script_turns(s, d):
     """S-10, X-16, P-22: turns read back from role-play scripts written from the turns."""
     rows = _turns(s, d).where("text is not null and trim(text) <> ''")
@@ -307,14 +314,54 @@ def quote_cues(s, d):
     return visits.word_cue(q, _words(s, d))
 
 
-@query()
+@query(
+    """,
+    l AS (SELECT session_id, list({'o': CAST(turn_id AS BIGINT), 'lo': start_s, 'hi': end_s} ORDER BY turn_id) AS x FROM t WHERE start_s IS NOT NULL AND end_s IS NOT NULL GROUP BY 1),
+    k AS (SELECT session_id, list_reduce(list_transform(x, lambda e: [e]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda y: e[1].lo < y.hi AND e[1].hi > y.lo)) > 0 THEN acc ELSE list_concat(acc, e) END) AS kept FROM l),
+    u AS (SELECT session_id, unnest(kept) AS e FROM k)
+    SELECT session_id, e.o AS turn_id, e.lo AS start_s, e.hi AS end_s FROM u"""
+)
 def span_overlap_dedup(s, d):
     """W-07: turns kept in order while they overlap no kept one in time."""
     rows = _turns(s, d).select("session_id", F.col("turn_id").cast("bigint").alias("turn_id"), "start_s", "end_s")
     return spans.drop_overlaps(rows, "session_id", "turn_id", "start_s", "end_s")
 
 
-@query()
+@query(
+    """,
+    h AS (SELECT session_id, char_start AS c_lo, char_end AS c_hi FROM t WHERE char_end > char_start QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY char_start, turn_id) = (count(*) OVER (PARTITION BY session_id) + 1) // 2),
+    o AS (SELECT session_id, unnest(list_filter(range(length(transcript_text) - 3), lambda i: substr(transcript_text, i + 1, 4) = ' the')) AS lo FROM s WHERE transcript_text IS NOT NULL),
+    m AS (SELECT o.session_id, CAST(o.lo AS INTEGER) AS lo, o.lo BETWEEN h.c_lo AND h.c_hi - 1 AS inside, abs(o.lo - floor((h.c_lo + h.c_hi) / 2)) AS away FROM o JOIN h USING (session_id))
+    SELECT session_id AS quote_id, arg_min(lo, (CASE WHEN inside THEN 0 ELSE 1 END, CASE WHEN inside THEN 0 ELSE away END, lo)) AS char_offset, bool_or(inside) AS inside, count(*) AS n_occurrences FROM m GROUP BY 1"""
+)
+def nearest_the(s, d):
+    """W-04: of all places of a frequent word in a session the one nearest to its middle turn."""
+    rows = _sessions(s, d)
+    found = spans.find_spans(rows.select("session_id", F.col("session_id").alias("quote_id"), F.lit(" the").alias("quote")), rows, "quote_id", "session_id", "quote", "transcript_text")
+    placed = _turns(s, d).where("char_end > char_start").select("session_id", "turn_id", "char_start", "char_end").withColumn("one", F.lit(1.0))
+    numbered = annotate(placed, "session_id", ["char_start", "turn_id"], sums=["one"])
+    size = numbered.groupBy("session_id").agg(F.count("*").alias("n"))
+    middle = numbered.join(size, "session_id").where("before_one + 1 = (n + 1) div 2")
+    return spans.nearest_spans(found, middle.select(F.col("session_id").alias("quote_id"), "char_start", "char_end")).drop("char_end")
+
+
+@query(
+    """,
+    c AS (SELECT session_id, CAST(turn_id AS BIGINT) AS o, text AS x,
+                 list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: NOT list_contains(["""
+    + ", ".join("'" + w.replace("'", "''") + "'" for w in spans.STOP)
+    + """], w)),
+                     lambda w: regexp_replace(CASE WHEN length(w) > 6 THEN regexp_replace(w, 'ness$', '') ELSE w END, '^([a-z]{3,}?)(ing|ed|es|s)$', '\\1'))) AS w
+          FROM t WHERE text IS NOT NULL AND lower(trim(role)) IN ('clinician', 'doctor', 'dr', 'physician', 'md')),
+    l AS (SELECT session_id, list({'o': o, 't': x, 'w': w, 'n': 1} ORDER BY o) AS e FROM c GROUP BY 1),
+    f AS (SELECT session_id, list_reduce(list_transform(e, lambda x: [x]), lambda acc, x:
+            CASE WHEN len(list_filter(acc, lambda k: len(list_intersect(k.w, x[1].w)) >= 3 AND len(list_intersect(k.w, x[1].w)) >= 0.7 * least(len(k.w), len(x[1].w)))) > 0
+            THEN list_transform(acc, lambda k, i: CASE WHEN i = list_position(list_transform(acc, lambda q: len(list_intersect(q.w, x[1].w)) >= 3 AND len(list_intersect(q.w, x[1].w)) >= 0.7 * least(len(q.w), len(x[1].w))), true)
+                 THEN {'o': k.o, 't': CASE WHEN length(x[1].t) > length(k.t) THEN x[1].t ELSE k.t END, 'w': CASE WHEN length(x[1].t) > length(k.t) THEN x[1].w ELSE k.w END, 'n': k.n + 1} ELSE k END)
+            ELSE list_concat(acc, x) END) AS kept FROM l),
+    u AS (SELECT session_id, unnest(kept) AS r FROM f)
+    SELECT session_id, r.o AS turn_id, r.t AS text, CAST(r.n AS INTEGER) AS n_merged FROM u"""
+)
 def restatements(s, d):
     """W-08, X-14: clinician turns, however the role is spelled, that restate an earlier one merge into it."""
     rows = _turns(s, d).where(visits.role_class("role") == "clinician").select("session_id", "turn_id", "text")
@@ -522,6 +569,31 @@ def sig_parse(s, d):
 _TIME_WORDS = "|".join([*(f"{u}s?" for u in dates.UNIT_DAYS), *dates.MONTHS, *dosing.WEEKDAYS, "yesterday", "today", "tomorrow", "before", "after"])
 
 
+def _sig_cues_sql() -> str:
+    """Ordered look-ups of the grammar's phrases among the tokens of a turn."""
+    has = lambda phrase: "contains(k, ' " + phrase.replace("'", "''") + " ')"
+    often = sorted(dosing.FREQUENCIES.items(), key=lambda x: (x[1] >= 1, -x[1]))
+    cases = " ".join(f"WHEN {has(p)} THEN {v!r}::DOUBLE" for p, v in often)
+    routes = " ".join(f"WHEN {' OR '.join(map(has, cues))} THEN '{r}'" for r, cues in dosing.ROUTES.items())
+    times = ", ".join(f"CASE WHEN {' OR '.join(map(has, cues))} THEN '{label}' END" for label, cues in dosing.TIMES.items())
+    days = ", ".join(f"CASE WHEN {has(w)} OR {has(w + 's')} THEN '{w}' END" for w in dosing.WEEKDAYS)
+    listed = lambda x: f"array_to_string(list_filter([{x}], lambda v: v IS NOT NULL), ',')"
+    return rf""",
+    k AS (SELECT session_id, turn_id, ' ' || array_to_string(regexp_extract_all(lower(replace(text, '’', '''')), '\d+(?:\.\d+)?|\p{{L}}+(?:''\p{{L}}+)?|[%/]'), ' ') || ' ' AS k FROM t WHERE text IS NOT NULL)
+    SELECT session_id, turn_id, coalesce(CASE {cases} END, 0) AS stated_per_day, coalesce(CASE {routes} END, '') AS route, {listed(times)} AS timing, {listed(days)} AS days FROM k"""
+
+
+@query(_sig_cues_sql())
+def sig_cues(s, d):
+    """N-03, N-04, N-06: route, stated frequency, times and days that the grammar finds in every turn."""
+    parsed = _turns(s, d).where("text is not null").select("session_id", "turn_id", dosing.sig(F.col("text")).alias("g"))
+    # a frequency that follows from "every n hours" is not stated
+    derived = F.col("g.interval_hours").isNotNull() & (F.col("g.frequency_per_day") == F.round(24 / F.nullif("g.interval_hours", F.lit(0.0)), 4))
+    stated = F.when(~F.coalesce(derived, F.lit(False)), F.col("g.frequency_per_day"))
+    days = F.coalesce("g.days_of_week", F.array().cast("array<string>"))
+    return parsed.select("session_id", "turn_id", F.coalesce(stated, F.lit(0.0)).alias("stated_per_day"), F.coalesce("g.route", F.lit("")).alias("route"), F.array_join("g.timing", ",").alias("timing"), F.array_join(days, ",").alias("days"))
+
+
 @query()
 def spoken_dates(s, d):
     """D-01 to D-10: dates in the sentences of each visit, resolved against its day; unparseable ones that name a time stay in."""
