@@ -30,15 +30,15 @@ def query(sql: str | None = None):
 
 
 def _release_lines(s, d):
-    """The name list as lines of a release file: eighteen fields, every seventh suppressed, every fifth not English."""
-    n = table(s, d, "name_index", "rxcui", "tty", "str").distinct().withColumn("h", F.crc32(F.concat_ws("|", "rxcui", "tty", "str")))
+    """The name list as lines of a release file: eighteen fields, some not English, some suppressed, by the length of the name."""
+    n = table(s, d, "name_index", "rxcui", "tty", "str").distinct().withColumn("h", F.length("str"))
     lang, off = F.when(F.col("h") % 5 == 0, "SPA").otherwise("ENG"), F.when(F.col("h") % 7 == 0, "Y").otherwise("N")
     blank = F.lit("")
     fields = [F.col("rxcui"), lang, *[blank] * 10, F.col("tty"), blank, F.col("str"), blank, off, blank]
     return n.select(F.concat(F.concat_ws("|", *fields), F.lit("|")).alias("value"))
 
 
-@query()
+@query("SELECT DISTINCT rxcui, tty, str FROM name_index WHERE length(str) % 5 <> 0 AND length(str) % 7 <> 0")
 def release_concepts(s, d):
     """S-01, S-02: English, unsuppressed concepts of a pipe-delimited release."""
     return vocabulary_files.concepts(vocabulary_files.split_fields(_release_lines(s, d)))
@@ -75,20 +75,34 @@ def release_names(s, d):
 def _label_records(s, d):
     """One label record per product; every third has no set id of its own, codes only where the key is long."""
     p = table(s, d, "product", "rxcui", "str", "ingredient_key", "dose_form").groupBy("rxcui").agg(F.min("str").alias("str"), F.min("ingredient_key").alias("ing"), F.min("dose_form").alias("form"))
-    third = F.crc32("rxcui") % 3 == 0
+    third = F.col("rxcui").cast("int") % 3 == 0
     own = F.when(~third, F.array(F.concat(F.lit("spl-"), "rxcui")))
     openfda = F.struct(own.alias("spl_set_id"), F.array("str", "ing").alias("brand_name"), F.array("ing").alias("generic_name"), F.when(F.length("rxcui") > 5, F.array("rxcui")).alias("rxcui"))
-    whole = F.struct(F.when(F.crc32("rxcui") % 2 == 0, F.concat(F.lit("set-"), "rxcui")).alias("set_id"), F.lit("20300101").alias("effective_time"), openfda.alias("openfda"), F.array(F.concat(F.lit("Take "), "str"), F.col("form")).alias("indications_and_usage"), F.array("form").alias("warnings"))
+    whole = F.struct(F.when(F.col("rxcui").cast("int") % 2 == 0, F.concat(F.lit("set-"), "rxcui")).alias("set_id"), F.lit("20300101").alias("effective_time"), openfda.alias("openfda"), F.array(F.concat(F.lit("Take "), "str"), F.col("form")).alias("indications_and_usage"), F.array("form").alias("warnings"))
     return p.select(F.to_json(whole).alias("record"))
 
 
-@query()
+_LABELS = """
+    WITH p AS (SELECT rxcui, min(str) AS str, min(ingredient_key) AS ing, min(dose_form) AS form FROM product GROUP BY 1),
+    l AS (SELECT *, CASE WHEN CAST(rxcui AS INTEGER) % 3 <> 0 THEN 'spl-' || rxcui WHEN CAST(rxcui AS INTEGER) % 2 = 0 THEN 'set-' || rxcui END AS spl_set_id FROM p)"""
+
+
+@query(
+    _LABELS
+    + """
+    SELECT spl_set_id, substr(concat_ws('; ', str, ing), 1, 200) AS brand, substr(coalesce(ing, ''), 1, 200) AS generic, '20300101' AS effective_time, length(rxcui) > 5 AS has_rxcui FROM l WHERE spl_set_id IS NOT NULL"""
+)
 def label_rows(s, d):
     """S-07: label rows: set id of the record or its first own one, names joined and cut at 200."""
     return vocabulary_files.labels(_label_records(s, d))[0]
 
 
-@query()
+@query(
+    _LABELS
+    + """
+    SELECT spl_set_id, 'indications_and_usage' AS field, concat_ws(' ', 'Take ' || str, form) AS body FROM l WHERE spl_set_id IS NOT NULL AND concat_ws(' ', 'Take ' || str, form) <> ''
+    UNION ALL SELECT spl_set_id, 'warnings', form FROM l WHERE spl_set_id IS NOT NULL AND form <> ''"""
+)
 def label_texts(s, d):
     """S-07: the text fields of labels, one row each."""
     return vocabulary_files.labels(_label_records(s, d))[1]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import dates, dosing, names, similarity
-from spanloom.operators import mentions, resolve, search, spans, visits, vocabulary, voices
+from spanloom.operators import mentions, resolve, review, search, spans, visits, vocabulary, voices
 from spanloom.operators.dewey import ancestor, dewey_nodes, once
 from spanloom.operators.extraction import item_mentions, item_states
 from spanloom.operators.rangescan import annotate
@@ -646,7 +646,11 @@ def envelope_states(s, d):
     return item_states(table(s, d, "extractions", "extraction_id", "raw_json"), "extraction_id", "raw_json")
 
 
-@query()
+@query(
+    r"""
+    WITH r AS (SELECT DISTINCT * FROM extractions)
+    SELECT CASE WHEN raw_json IS NULL OR trim(raw_json) = '' THEN 'empty' WHEN json_valid(raw_json) THEN 'whole' WHEN json_valid(regexp_extract(raw_json, '(?s)(\{.*\})', 1)) THEN 'salvaged' ELSE 'malformed' END AS reading, count(*) AS n_records FROM r GROUP BY 1"""
+)
 def output_reading(s, d):
     """S-14: how each stored answer can be read (whole, salvaged from its outermost braces, malformed, empty)."""
     rows = table(s, d, "extractions", "extraction_id", "raw_json").distinct()
@@ -704,6 +708,25 @@ def event_merge(s, d):
     return mentions.merge_events(e, "day", "kind", [], "detail")
 
 
+@query(
+    """,
+    e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, value, CASE WHEN value > 50 THEN props END AS detail FROM events)
+    SELECT session_id, day, kind, arg_min(event_id, (value IS NULL, -value, event_id)) AS event_id, count(*) AS n_merged, arg_min(detail, (value IS NULL, -value, event_id)) FILTER (detail IS NOT NULL) AS detail FROM e GROUP BY session_id, day, kind"""
+)
+def event_survivors(s, d):
+    """U-06, T-08: of the events of one user, day and kind the one of the greatest value survives; the best-ranked detail is donated to it."""
+    e = table(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("session_id"), F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("kind"), "value", F.when(F.col("value") > 50, F.col("props")).alias("detail"))
+    return mentions.merge_events(e, "day", "kind", [F.col("value").isNull().alias("unknown"), F.negative("value").alias("least")], "detail")
+
+
+@query()
+def chosen_sigs(s, d):
+    """T-09: of the instructions that a session's turns state the one to act on: the most confident that is read, else the first."""
+    said = _turns(s, d).select("session_id", "turn_id", dosing.sig(F.col("text")).alias("g"))
+    read = said.select("session_id", "turn_id", F.lit(None).cast("boolean").alias("settled"), (F.col("g.dose_amount") > 1000).alias("blocking"), "g.status", "g.parse_confidence", "g.normalized_sig")
+    return review.chosen_sig(read, ["session_id"], "turn_id").select("session_id", "turn_id", "status", "normalized_sig")
+
+
 @query(
     """,
     q AS (SELECT session_id, char_start AS char_offset, char_end, CASE WHEN lower(trim(role)) = 'clinician' THEN 'what_changes' WHEN role IS NULL THEN 'open' ELSE 'what_you_said' END AS heading FROM t)
