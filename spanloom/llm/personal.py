@@ -51,7 +51,7 @@ _KIN = ("daughter", "son", "husband", "wife", "mother", "father", "sister", "bro
 #: How people are introduced: the words before a name, and what the name scores.  Below ``ACCEPT`` a phrase is
 #: no proof by itself; it counts when the name list is learned.
 _PHRASES = {
-    "my name is": 0.6, "name is": 0.5, "name's": 0.6, "on behalf of": 0.6, "ask for": 0.6, "is called": 0.6, "named": 0.6, "this is": 0.4, "i am": 0.4, "i'm": 0.4, "meet": 0.4, "put": 0.4, "form": 0.4, "me": 0.3,
+    "my name is": 0.6, "name is": 0.5, "name's": 0.6, "on behalf of": 0.6, "ask for": 0.6, "is called": 0.6, "named": 0.6, "this is": 0.4, "i am": 0.4, "i'm": 0.4, "meet": 0.4, "put": 0.4, "form": 0.4,
     **{f"{whose} {kin}": 0.6 for whose in ("my", "her", "his", "our") for kin in _KIN},
 }
 _SPEAKING = {"speaking", "calling", "here"}
