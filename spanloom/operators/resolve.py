@@ -225,7 +225,7 @@ def resolve_mentions(mentions: DataFrame, mention_id: str, mention: str, names:
     without a key are unresolved.
     """
     prior = ingredient_frequency(products).select(F.lower(F.trim("ingredient_key")).alias("salt_key"), "prior").groupBy("salt_key").agg(F.max("prior").alias("prior"))
-    index = names.select("rxcui", "tty", "str", "key", "salt_key", "base_key").distinct().join(prior, "salt_key", "left").fillna(0.0, ["prior"])
+    index = checkpointed(names.select("rxcui", "tty", "str", "key", "salt_key", "base_key").distinct().join(prior, "salt_key", "left").fillna(0.0, ["prior"]))  # every stage reads it
     raw = mentions.select(F.col(mention_id).alias("mention_id"), F.col(mention).cast("string").alias("raw")).distinct()
     keyed = raw.withColumn("k", normalized(F.col("raw"))).select("mention_id", "raw", F.col("k.key").alias("q"), F.col("k.salt_key").alias("salt_key"), F.col("k.base_key").alias("base_key"))
     keyed = keyed.withColumn("head", F.pandas_udf(_heads, "string")("q")).withColumn("tail", F.pandas_udf(_tails, "string")("raw")).withColumn("form", ends_in_form(F.col("raw")))
