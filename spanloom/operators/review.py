@@ -68,3 +68,21 @@ def still_there(text: Column, char_offset: Column, quote: Column) -> Column:
 def merge_target(hint: Column) -> Column:
     """J-24: the item that a hint ``merge_into:<id>`` names, else null."""
     return F.nullif(F.regexp_extract(hint, "^merge_into:(.+)$", 1), F.lit(""))
+
+
+def override_roles(speakers: DataFrame, chosen: DataFrame) -> DataFrame:
+    """R-19: ``speakers`` (session_id, speaker) with a role: clinician for the session's ``chosen`` speaker, other for the rest."""
+    return speakers.join(chosen.select("session_id", "chosen"), "session_id").withColumn("role", F.when(F.col("speaker") == F.col("chosen"), "clinician").otherwise("other")).drop("chosen")
+
+
+def short_title(text: Column, words: int = 8) -> Column:
+    """X-19: the first words of a text, with an ellipsis if it goes on."""
+    ws = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return F.concat(F.array_join(F.slice(ws, 1, words), " "), F.when(F.size(ws) > words, "…").otherwise(""))
+
+
+def amount_text(amount: Column, unit: Column) -> Column:
+    """X-18: an amount with its unit, in six significant figures without trailing zeros; for amounts from 0.0001 to below a million."""
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(amount))))
+    plain = F.format_string("%.10f", F.when(amount == 0, F.lit(0.0)).otherwise(F.round(amount * scale) / scale))
+    return F.concat_ws(" ", F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", ""), unit)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import resolve, review, search, spans, visits
+from spanloom.operators.rangescan import annotate
 from spanloom.plans.reference import latest_sessions, latest_turns, latest_words, with_latest
 from spanloom.session import table
 from spanloom.sources import transcripts, vocabulary_files
@@ -287,3 +288,94 @@ def label_links(s, d):
 def stemmed_search(s, d):
     """J-18: documents about bridges and repairs, whatever the words' endings, with the place of the first hit."""
     return search.search_words(search.inverted_index(table(s, d, "documents", "doc_id", "text"), "doc_id", "text"), ["bridges", "repairing"])
+
+
+# ---------------------------------------------------------------- source rows and wording
+
+
+@query(
+    """,
+    z AS (SELECT session_id, word_idx, trim(text) AS text, round(end_s - start_s, 3) AS length_s FROM w WHERE trim(text) <> '')
+    SELECT * FROM z"""
+)
+def recognised_words(s, d):
+    """S-12: words of the recogniser, trimmed, without blank ones."""
+    return latest_words(s, d).where("trim(text) <> ''").select("session_id", "word_idx", F.trim("text").alias("text"), F.round(F.col("end_s") - F.col("start_s"), 3).alias("length_s"))
+
+
+@query(
+    """,
+    i AS (SELECT session_id, turn_id, start_s, end_s FROM t WHERE end_s - start_s >= 2.0)
+    SELECT session_id, turn_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY start_s, turn_id) - 1 AS BIGINT) AS interval_idx FROM i"""
+)
+def long_intervals(s, d):
+    """S-13: intervals of two seconds at least, numbered by their start."""
+    rows = latest_turns(s, d).where("end_s - start_s >= 2.0").select("session_id", "turn_id", "start_s").withColumn("one", F.lit(1.0))
+    return annotate(rows, "session_id", ["start_s", "turn_id"], sums=["one"]).select("session_id", "turn_id", F.col("before_one").cast("bigint").alias("interval_idx"))
+
+
+@query(
+    """,
+    c AS (SELECT session_id, try_cast(regexp_extract(speaker_cluster, '([0-9]{1,6})[^0-9]*$', 1) AS INTEGER) AS speaker, round(sum(CASE WHEN end_s > start_s THEN end_s - start_s ELSE 0 END), 6) AS speech FROM t GROUP BY 1, 2),
+    k AS (SELECT session_id, arg_max(speaker, (speech, -speaker)) AS chosen FROM c WHERE speaker IS NOT NULL GROUP BY 1)
+    SELECT c.session_id, c.speaker, CASE WHEN c.speaker = k.chosen THEN 'clinician' ELSE 'other' END AS role FROM c JOIN k USING (session_id) WHERE c.speaker IS NOT NULL"""
+)
+def role_override(s, d):
+    """R-19: the chosen speaker of a session is the clinician, all others are not; here the one who speaks longest is chosen."""
+    speaker = F.expr("try_cast(regexp_extract(speaker_cluster, '([0-9]{1,6})[^0-9]*$', 1) as int)")
+    length = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s") - F.col("start_s")).otherwise(0.0)
+    speech = latest_turns(s, d).groupBy("session_id", speaker.alias("speaker")).agg(F.round(F.sum(length), 6).alias("speech")).where("speaker is not null")
+    chosen = speech.groupBy("session_id").agg(F.max_by("speaker", F.struct("speech", F.negative("speaker"))).alias("chosen"))
+    return review.override_roles(speech, chosen).select("session_id", "speaker", "role")
+
+
+@query(
+    """
+    WITH e AS (SELECT DISTINCT session_id, item_id, entry_id, canonical_name FROM med_entries),
+    r AS (SELECT session_id, item_id, arg_max(coalesce(status, ''), (entered_at, entry_id)) AS status FROM (SELECT DISTINCT * FROM med_entries) WHERE entered_at IS NOT NULL GROUP BY 1, 2)
+    SELECT e.session_id, e.item_id, e.entry_id, coalesce(r.status, 'none') AS status, trim(coalesce(canonical_name, '')) <> '' AND coalesce(r.status, '') = 'confirmed' AS printable FROM e LEFT JOIN r ON e.session_id = r.session_id AND e.item_id = r.item_id"""
+)
+def printable_items(s, d):
+    """F-09, F-10, J-23: entered items with what reviewers decided on them, and whether they may be printed: named and confirmed."""
+    e = table(s, d, "med_entries", "session_id", "item_id", "entry_id", "canonical_name").distinct()
+    met = e.join(latest_reviews(s, d).select("session_id", "item_id", "status"), ["session_id", "item_id"], "left")
+    named = F.trim(F.coalesce("canonical_name", F.lit(""))) != ""
+    return met.select("session_id", "item_id", "entry_id", F.coalesce("status", F.lit("none")).alias("status"), (named & (F.coalesce("status", F.lit("")) == "confirmed")).alias("printable"))
+
+
+@query(
+    r""",
+    x AS (SELECT session_id, turn_id, list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> '') AS ws FROM t WHERE text IS NOT NULL)
+    SELECT session_id, turn_id, array_to_string(ws[1:8], ' ') || CASE WHEN len(ws) > 8 THEN '…' ELSE '' END AS title FROM x"""
+)
+def turn_titles(s, d):
+    """X-19: the first eight words of a turn as its title."""
+    return latest_turns(s, d).where("text is not null").select("session_id", "turn_id", review.short_title(F.col("text")).alias("title"))
+
+
+@query(
+    r"""
+    WITH p AS (SELECT DISTINCT regexp_extract(str, '([0-9]+(?:\.[0-9]+)?)\s*(MG|MCG|ML|G|UNT)\b', 1) AS a, lower(regexp_extract(str, '([0-9]+(?:\.[0-9]+)?)\s*(MG|MCG|ML|G|UNT)\b', 2)) AS u FROM product)
+    SELECT a AS amount, u AS unit, printf('%g', CAST(a AS DOUBLE) / 3) || ' ' || u AS third FROM p WHERE a <> ''"""
+)
+def dose_wording(s, d):
+    """X-18: amounts as they are printed, six figures at most: here a third of every strength."""
+    amount, unit = (F.regexp_extract("str", r"([0-9]+(?:\.[0-9]+)?)\s*(MG|MCG|ML|G|UNT)\b", k) for k in (1, 2))
+    p = table(s, d, "product", "str").select(amount.alias("amount"), F.lower(unit).alias("unit")).where("amount <> ''").distinct()
+    return p.select("amount", "unit", review.amount_text(F.col("amount").cast("double") / 3, F.col("unit")).alias("third"))
+
+
+@query("SELECT DISTINCT session_id, strftime(visit_date, '%A, %B %-d') AS said FROM sessions WHERE visit_date IS NOT NULL")
+def visit_days(s, d):
+    """D-11: the day of each visit as it is said."""
+    return table(s, d, "sessions", "session_id", "visit_date").where("visit_date is not null").select("session_id", F.date_format("visit_date", "EEEE, MMMM d").alias("said")).distinct()
+
+
+@query(
+    """,
+    q AS (SELECT session_id, turn_id, start_s, end_s FROM t WHERE end_s > start_s)
+    SELECT session_id, turn_id, printf('#t=%.3f,%.3f', start_s, end_s) AS fragment FROM q"""
+)
+def turn_fragments(s, d):
+    """P-24: each turn as a fragment of its recording."""
+    return latest_turns(s, d).where("end_s > start_s").select("session_id", "turn_id", review.media_fragment(F.col("start_s"), F.col("end_s")).alias("fragment"))
