@@ -365,9 +365,14 @@ def _labelled_passages(docs: DataFrame, pages: int, passages: int) -> dict[int,
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["d", "sig", "head", "sentence"])
 
-    sample = docs.where("lab").orderBy(F.xxhash64("d"), "d").limit(pages).select("d", "t")
+    # the least hashes make the sample; only hashes are ordered, texts stay where they are
+    h, marked = F.xxhash64("d"), docs.where("lab")
+    most = marked.select(h.alias("h")).distinct().orderBy("h").limit(pages).agg(F.max("h").alias("h")).first().h
     found: dict[int, dict[str, tuple[str, bool]]] = defaultdict(dict)
-    for r in sample.mapInArrow(run, "d bigint, sig string, head string, sentence boolean").limit(passages).toLocalIterator():  # at most ``passages`` rows
+    if most is None:
+        return found
+    told = marked.where(h <= most).select("d", "t").mapInArrow(run, "d bigint, sig string, head string, sentence boolean")
+    for r in told.orderBy(F.xxhash64("d", "sig"), "d", "sig").limit(passages).collect():
         found[r.d][r.sig] = (r.head, r.sentence)
     return found
 
