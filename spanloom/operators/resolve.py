@@ -156,7 +156,9 @@ def resolve_keys(keys: DataFrame, index: DataFrame) -> DataFrame:
         F.col("row.str").alias("name"), F.lit(1.0).alias("score"), none.cast("double").alias("runner_up"), F.lit(0).alias("edit_distance"), F.when(~one, alike).alias("candidates"),
     )
 
-    open1 = keys.join(exact.select("q"), "q", "left_anti")
+    # what a stage decides is written once: the stages after it and the result read it
+    done1 = checkpointed(done1)
+    open1 = checkpointed(keys.join(done1.select("q"), "q", "left_anti"))
     stages = None
     for n, (mine, theirs) in enumerate([("q", "salt_key"), ("salt_key", "key"), ("base_key", "key"), ("base_key", "base_key")]):
         side = index.select("rxcui", "tty", "str", "key", F.col(theirs).alias("_at"))
@@ -168,7 +170,8 @@ def resolve_keys(keys: DataFrame, index: DataFrame) -> DataFrame:
         none.cast("double").alias("runner_up"), F.levenshtein("q", "row.key").alias("edit_distance"), no_one.alias("candidates"),
     )
 
-    open2 = open1.join(variant.select("q"), "q", "left_anti")
+    done2 = checkpointed(done2)
+    open2 = open1.join(done2.select("q"), "q", "left_anti")
     # few keys may be left, but each costs a pass over the index: spread them
     n = shuffle_partitions(keys.sparkSession)
     scored = fuzzy_candidates(open2.select("q").repartition(n, "q"), index)
