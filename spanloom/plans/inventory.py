@@ -336,7 +336,7 @@ def role_override(s, d):
     SELECT e.session_id, e.item_id, e.entry_id, coalesce(r.status, 'none') AS status, trim(coalesce(canonical_name, '')) <> '' AND coalesce(r.status, '') = 'confirmed' AS printable FROM e LEFT JOIN r ON e.session_id = r.session_id AND e.item_id = r.item_id"""
 )
 def printable_items(s, d):
-    """F-09, F-10, J-23: entered items with what reviewers decided on them, and whether they may be printed: named and confirmed."""
+    """F-09, J-23: entered items with what reviewers decided on them, and whether they may be printed: named and confirmed."""
     e = table(s, d, "med_entries", "session_id", "item_id", "entry_id", "canonical_name").distinct()
     met = e.join(latest_reviews(s, d).select("session_id", "item_id", "status"), ["session_id", "item_id"], "left")
     named = F.trim(F.coalesce("canonical_name", F.lit(""))) != ""
