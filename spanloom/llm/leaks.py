@@ -115,6 +115,8 @@ class LeakMatcher:
 
         self.min_words, self.budget = min_words, budget
         self.cuts = [k * min_words // (budget + 1) for k in range(budget + 2)]
+        fine = [k * min_words // (2 * budget + 2) for k in range(2 * budget + 3)]
+        self.fine = [(i, j) for i, j in zip(fine, fine[1:]) if i < j]
         self.items = [x for x in (_Item(k, t) for k, t in items) if x.words() >= min_words]
         pieces: dict[str, set[tuple[int, int, int]]] = {}
         for n, item in enumerate(self.items):
@@ -158,7 +160,11 @@ class LeakMatcher:
                 for w in self._passages_of(item, lo, hi) if found.get(n) != 0 else ():
                     a, b = item.starts[w], item.starts[w + self.min_words]
                     at = max(0, offset + a - self.budget)
-                    edits = myers_distance(item.stream[a:b], stream[at : max(at, offset + b + self.budget)], self.budget)
+                    region = stream[at : max(at, offset + b + self.budget)]
+                    # an edit spoils one of the finer pieces at most, so all but ``budget`` of them must stand in the region
+                    if sum(item.stream[item.starts[w + i] : item.starts[w + j]] in region for i, j in self.fine) < len(self.fine) - self.budget:
+                        continue
+                    edits = myers_distance(item.stream[a:b], region, self.budget)
                     if edits <= min(self.budget, found.get(n, self.budget)):
                         found[n] = edits
         return {n: (edits, runs.get(n, 0)) for n, edits in found.items()}
