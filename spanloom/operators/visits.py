@@ -34,10 +34,13 @@ def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """One row per key: the one delivered last (repeated and late deliveries).
 
     Aggregates before the shuffle, so a key delivered very often is no hot group.
+    Every column is aggregated by itself, so columns that a query does not use
+    are not read; of deliveries with one time the greatest value of a column
+    counts.  A null time comes before all others.
     """
     rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_row"))
-    return picked.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(*rows.columns)
+    last = lambda c: F.max(F.col(c)) if c == by else F.max(F.struct(F.col(by), F.col(c)))[c]
+    return rows.groupBy(*keys).agg(*(last(c).alias(c) for c in rest)).select(*rows.columns)
 
 
 def assign_intervals(points: DataFrame, intervals: DataFrame, point_keys: list[str], bucket_s: float = 30.0) -> DataFrame:
