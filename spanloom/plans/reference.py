@@ -85,7 +85,11 @@ def _speaker(c: str):
 )
 def contract_violations(s, d):
     """F-12, F-13, P-26: rows that break a rule of the data model."""
-    return visits.violations(_sessions(s, d), _turns(s, d), _words(s, d))
+    sessions = table(s, d, "sessions", "session_id", "session_dir", "audio_path", "transcript_text", "consent", "received_at")
+    turns = table(s, d, "turns", "session_id", "turn_id", "start_s", "end_s", "text", "char_start", "char_end", "received_at")
+    words = table(s, d, "words", "session_id", "turn_id", "word_idx", "text", "start_s", "end_s", "probability", "char_offset", "received_at")
+    keyed = (sessions, ["session_id"]), (turns, ["session_id", "turn_id"]), (words, ["session_id", "word_idx"])
+    return visits.violations(*(visits.latest_rows(df, keys, "received_at") for df, keys in keyed))
 
 
 @query(

@@ -3,7 +3,10 @@
 import json
 from datetime import datetime
 
-from spanloom.plans.reference import QUERIES
+import duckdb
+
+from oracle import table
+from spanloom.plans.reference import ORACLES, QUERIES
 
 AT = datetime(2031, 5, 27)
 TURNS = "session_id string, turn_id int, role string, text string, char_start int, char_end int, received_at timestamp"
@@ -72,3 +75,44 @@ def test_mentions_merge_by_code_in_any_layout(spark, tmp_path):
 def test_lookalikes_with_other_heads(spark, tmp_path):
     _write(spark, tmp_path, "name_index", [("BN", "brantexol"), ("BN", "barntexol"), ("BN", "zumivir"), ("IN", "bratnexol")], "tty string, key string")
     assert [(r.a, r.b) for r in QUERIES["lookalike_pairs"](spark, str(tmp_path)).collect()] == [("barntexol", "brantexol")]
+
+
+def _visits(spark, folder, transcripts, turns, words):
+    """Turns are (session, text, from, to), words (session, text, offset); a turn id with times may follow either."""
+    consent, turn_times, word_times = (True, "signed", AT), (0.0, 9.0), (0, 1.0, 2.0)
+    _write(spark, folder, "sessions", [(k, f"v/{k}", f"v/{k}/a.wav", t, consent, AT) for k, t in transcripts], "session_id string, session_dir string, audio_path string, transcript_text string, consent struct<obtained boolean, method string, obtained_at timestamp_ntz>, received_at timestamp")
+    _write(spark, folder, "turns", [(*x, *more, *(() if more else (k, *turn_times)), AT) for k, (*x, more) in enumerate((*t[:4], t[4:]) for t in turns)], "session_id string, text string, char_start int, char_end int, turn_id int, start_s double, end_s double, received_at timestamp")
+    _write(spark, folder, "words", [(*x, *(more or word_times), k, 0.5, AT) for k, (*x, more) in enumerate((*w[:3], w[3:]) for w in words)], "session_id string, text string, char_offset int, turn_id int, start_s double, end_s double, word_idx int, probability double, received_at timestamp")
+
+
+def _as_in_sql(spark, folder):
+    con = duckdb.connect()
+    for t in ("sessions", "turns", "words"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    assert table(QUERIES["contract_violations"](spark, str(folder)).toPandas()) == table(con.sql(ORACLES["contract_violations"]).df())
+
+
+def test_broken_rules_are_counted_without_broadcasts(spark, tmp_path):
+    """Transcripts that pack well: their file tells nothing of the pieces' size, which once were all sent to the driver."""
+    many = "again " * 20000
+    _visits(spark, tmp_path, [(f"s{k}", many) for k in range(4)], [(f"s{k}", many[:-1], 0, len(many) - 1) for k in range(4)], [(f"s{k}", "again", at) for k in range(4) for at in (0, 6, 11, 119994)])
+    found = QUERIES["contract_violations"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [("word offset does not index the transcript", 4, 4)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_of_any_offsets_as_in_sql(spark, tmp_path):
+    said = "no, é\U0001f600 is  so"
+    words = [("s", t, lo) for t in ("no,", "no", "", "é\U0001f600", "is  so", "so", "o", None) for lo in (-40, -3, -2, -1, 0, 4, 7, 11, 12, 99, None)] + [("none", "no,", 0), ("null", "no,", 0), (None, "no,", 0), ("t", "no,", 0)]
+    turns = [("s", t, lo, hi) for t in ("no,", "", "so", said, None) for lo in (-3, -1, 0, 3, 11, 13, None) for hi in (-1, 0, 3, 13, 99, None)] + [("none", "x", 0, 1), ("null", "x", 0, 1), (None, "x", 0, 1)]
+    _visits(spark, tmp_path, [("s", said), ("null", None), ("t", "")], turns, words)
+    _as_in_sql(spark, tmp_path)
+
+
+def test_words_outside_turns_of_any_times_as_in_sql(spark, tmp_path):
+    times = (None, -1.0, 0.0, 1.0, 2.0, float("nan"), float("inf"), float("-inf"))
+    spans = [(s, k) for s in ("s", "none", None) for k in [*((a, b) for a in times for b in times), None]]
+    turns = [(s, "a", 0, 1, k and 8 * times.index(k[0]) + times.index(k[1]), *(k or (0.0, 1.0))) for s, k in spans]
+    words = [(s, "a", 0, turn, a, b) for s in ("s", "none", None) for turn in (*range(66), None) for a in times for b in times]
+    _visits(spark, tmp_path, [("s", "a")], turns, words)
+    _as_in_sql(spark, tmp_path)
